@@ -1,16 +1,36 @@
-"""Where lineage is cut: a reliable checkpoint in the folder that the session names."""
+"""Where lineage is cut: tables written to the shared folder that the session names in spark.checkpoint.dir."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_OURS: dict[str, str] = {}
+
+
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary folder of our own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = _OURS.setdefault("dir", _OURS.get("dir") or tempfile.mkdtemp(prefix="tidemark-"))
+    return named.rstrip("/")
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001 - the session may be gone; the folder is a scratch folder
+        pass
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in spark.checkpoint.dir; a folder of our own is set only where that is unset (tests)."""
-    context = df.sparkSession.sparkContext
-    named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    """The same rows, computed once; a lost executor costs no recomputation. The table goes when the driver ends."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/tidemark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_drop, spark, path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,9 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import packing, pieces, tokenizer
+from tidemark.llm import neardup, packing, pieces, sitelines, tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": neardup.p1_found,
+    "p1_classes": neardup.p1_classes,
+    "p4_found": sitelines.p4_found,
+    "p4_clean": sitelines.p4_clean,
+    "p4_lines": sitelines.p4_lines,
     "p7_ids": tokenizer.p7_ids,
     "p8_pack": packing.p8_pack,
     "p8_fill": packing.p8_fill,
@@ -16,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_pieces": pieces.p9_pieces,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {**sitelines.ORACLES}
