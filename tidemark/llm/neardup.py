@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import textcodes as tc
 from tidemark.llm.checkpoints import cut
 
-ROWS, BAND_ROWS, BANDS, BATCH_ROWS = 192, 6, 64, 32
+ROWS, BAND_ROWS, BANDS, BATCH_ROWS = 192, 6, 96, 32
 BLOCK = 128
 MISS = 0.001
 
