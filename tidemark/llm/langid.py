@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import textcodes as tc
+from tidemark.llm.sampling import bounded_sample
 
 TRAIN_ROWS, ROUNDS = 6000, 3
 PROFILE, MOST, MIN_LETTERS = 1200, 1200, 20
@@ -160,8 +161,8 @@ def fit_noisy(texts: list[str], labels: list[str], rounds: int = ROUNDS) -> Prof
 
 def train(df: DataFrame, codes: list[str], names: dict[str, str], id_col: str, text_col: str, label_col: str, most: int = TRAIN_ROWS) -> Profiles:
     code = label_code(F.col(label_col), names)
-    rows = df.select(F.col(text_col).alias("t"), code.alias("c"), F.xxhash64(id_col).alias("h")).filter(F.col("c").isin(*codes) & (F.length("t") >= MIN_LETTERS))
-    sample = rows.orderBy("h", "t").limit(most).select("t", "c").toPandas()  # a bounded top-k
+    rows = df.select(F.col(text_col).alias("t"), code.alias("c"), F.col(id_col).alias("i")).filter(F.col("c").isin(*codes) & (F.length("t") >= MIN_LETTERS))
+    sample = bounded_sample(rows, F.col("i"), most)
     if sample.empty:
         raise ValueError("no labelled row to fit profiles on")
     return fit_noisy(sample["t"].tolist(), sample["c"].tolist())
