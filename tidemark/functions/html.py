@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import let
+
 DROPPED = frozenset({"script", "style", "noscript", "nav", "footer", "header", "form", "aside"})
 VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"})
 CANDIDATE_CLASSES = frozenset({"content", "article", "post"})
@@ -182,23 +184,23 @@ def mentions_html_type(content_type: Column) -> Column:
 
 
 def looks_like_html(page: Column, size: int) -> Column:
-    start = F.lower(F.decode(head(page, size), "ISO-8859-1"))
-    return F.contains(start, F.lit("<!doctype html")) | F.contains(start, F.lit("<html"))
+    return F.decode(head(page, size), "ISO-8859-1").rlike("(?i)<!doctype html|<html")
 
 
 def metrics(page: Column, head_bytes: int, least_text: int, least_ratio: float) -> Column:
     """Length in bytes and share of the text in a page's head, signals of an article, and a score for audits. The text's
     bytes are seen as Latin-1 characters, so that a cut in a character does no harm."""
-    raw = F.decode(head(page, head_bytes), "ISO-8859-1")
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, "<[^>]+>", " "), "[ \\t\\n\\r\\f\\x0B]+", " "), "^ | $", "")
-    size = F.length(bare).cast("bigint")
-    share = size / F.greatest(F.length(raw), F.lit(1))
-    signals = {
-        "has_title": raw.rlike("(?i)<title\\b"),
-        "has_article": raw.rlike("(?i)<article\\b"),
-        "has_time": raw.rlike("(?i)<time\\b"),
-        "has_jsonld": raw.rlike('(?i)"@type"\\s*:\\s*"(NewsArticle|Article)"'),
-    }
-    points = lambda test, n: F.when(test, n).otherwise(0)
-    score = points(size >= least_text, 2) + points(share >= least_ratio, 1) + points(signals["has_jsonld"], 3) + points(signals["has_article"], 2) + points(signals["has_time"], 1) + points(signals["has_title"], 1)
-    return F.struct(size.alias("text_len"), F.round(share, 4).alias("text_ratio"), *(c.alias(n) for n, c in signals.items()), score.cast("int").alias("score_hint"))
+    def measured(raw: Column) -> Column:
+        bare = F.trim(F.regexp_replace(F.regexp_replace(raw, "<[^>]+>", " "), "[ \\t\\n\\r\\f\\x0B]+", " "))
+        return F.struct(
+            F.length(bare).cast("bigint").alias("size"), F.greatest(F.length(raw), F.lit(1)).alias("whole"), raw.rlike("(?i)<title\\b").alias("title"), raw.rlike("(?i)<article\\b").alias("article"), raw.rlike("(?i)<time\\b").alias("time"),
+            raw.rlike('(?i)"@type"\\s*:\\s*"(NewsArticle|Article)"').alias("jsonld"),
+        )
+
+    def described(m: Column) -> Column:
+        share = m["size"] / m["whole"]
+        points = lambda test, n: F.when(test, n).otherwise(0)
+        score = points(m["size"] >= least_text, 2) + points(share >= least_ratio, 1) + points(m["jsonld"], 3) + points(m["article"], 2) + points(m["time"], 1) + points(m["title"], 1)
+        return F.struct(m["size"].alias("text_len"), F.round(share, 4).alias("text_ratio"), m["title"].alias("has_title"), m["article"].alias("has_article"), m["time"].alias("has_time"), m["jsonld"].alias("has_jsonld"), score.cast("int").alias("score_hint"))
+
+    return let(let(F.decode(head(page, head_bytes), "ISO-8859-1"), measured), described)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import strip
+from tidemark.functions.text import let, strip
 
 KANA = "[\\u3040-\\u309F\\u30A0-\\u30FF\\u31F0-\\u31FF]"
 HAN = "[\\u4E00-\\u9FFF]"
@@ -38,16 +38,20 @@ def chinese_like(text: Column) -> Column:
 
 def detection_text(text: Column) -> Column:
     """The text as it is classified: no decorated heading, no URLs, blanks reduced. A decorated text of one line leaves nothing."""
-    text = F.replace(F.coalesce(text, F.lit("")), F.lit("\r"), F.lit(""))
-    first = F.substring_index(text, "\n", 1)
-    symbols = F.regexp_count(first, F.lit(SYMBOLS)) / F.greatest(F.length(first), F.lit(1))
-    text = F.when(symbols >= 0.35, F.regexp_extract(text, "(?s)^[^\\n]*\\n(.*)$", 1)).otherwise(text)
+    def plain(t: Column) -> Column:
+        first = F.substring_index(t, "\n", 1)
+        symbols = F.regexp_count(first, F.lit(SYMBOLS)) / F.greatest(F.length(first), F.lit(1))
+        return F.when(symbols >= 0.35, F.regexp_extract(t, "(?s)^[^\\n]*\\n(.*)$", 1)).otherwise(t)
+
+    text = let(F.replace(F.coalesce(text, F.lit("")), F.lit("\r"), F.lit("")), plain)
     text = F.regexp_replace(F.regexp_replace(text, "https?://\\S+", " "), "[ \\t\\u3000]+", " ")
     return strip(F.regexp_replace(F.regexp_replace(text, " +\\n", "\n"), "\\n{3,}", "\n\n"))
 
 
 def classify(text: Column, rest: Column | None = None) -> Column:
     """The label of a text; `rest` decides what scripts can't (an optional library), 'other' without it."""
-    plain = detection_text(text)
-    latin = plain.rlike("[A-Za-z]") & ~plain.rlike(HAN)
-    return F.when(F.length(plain) == 0, "other").when(has_kana(plain), "ja").when(chinese_by_script(plain), "zh").when(latin, "en").otherwise(F.lit("other") if rest is None else F.coalesce(rest, F.lit("other")))
+    def label(plain: Column) -> Column:
+        latin = plain.rlike("[A-Za-z]") & ~plain.rlike(HAN)
+        return F.when(F.length(plain) == 0, "other").when(has_kana(plain), "ja").when(chinese_by_script(plain), "zh").when(latin, "en").otherwise(F.lit("other") if rest is None else F.coalesce(rest, F.lit("other")))
+
+    return let(detection_text(text), label)

@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What counts as white space when a text is trimmed: all of Unicode's, unlike trim().
-BLANKS = "\\t-\\r\\x1c-\\x20\\x85\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: What counts as white space when a text is trimmed: all of Unicode's, unlike trim() without arguments.
+BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 LINE_ENDS = "\\r\\n|[\\n\\x0b\\f\\r\\x1c-\\x1e\\x85\\u2028\\u2029]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often the body names it: a condition's branches share nothing, and
+    nested expressions would grow exponentially."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{BLANKS}]+|[{BLANKS}]+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, f"[{BLANKS}]+$", "")
+    return F.rtrim(text, F.lit(BLANKS))
 
 
 def lstrip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{BLANKS}]+", "")
+    return F.ltrim(text, F.lit(BLANKS))
 
 
 def collapse(text: Column) -> Column:
@@ -53,15 +61,17 @@ def without_title(title: Column, body: Column) -> Column:
 
 def composed(title: Column, body: Column, most: int) -> Column:
     """Title, blank line and body, cleaned and cut."""
-    whole = clean(F.when(F.length(title) > 0, strip(F.concat(title, F.lit("\n\n"), body))).otherwise(body))
-    return F.when(F.length(whole) > most, rstrip(F.substring(whole, 1, most))).otherwise(whole)
+    whole = clean(F.when(F.length(title) > 0, F.concat(title, F.lit("\n\n"), body)).otherwise(body))
+    return let(whole, lambda x: F.when(F.length(x) > most, rstrip(F.substring(x, 1, most))).otherwise(x))
 
 
 def language_sample(ok: Column, title: Column, body: Column, most: int, least_body: int) -> Column:
     """What the language is decided on: the start of the body, with the title before a short one; blank where scraping failed."""
-    title, body = strip(F.coalesce(title, F.lit(""))), strip(F.coalesce(body, F.lit("")))
-    whole = F.when(F.length(body) < least_body, strip(F.concat(title, F.lit("\n"), body))).otherwise(body)
-    return F.when(F.coalesce(ok, F.lit(False)), F.substring(whole, 1, most)).otherwise(F.lit(""))
+    def sample(x: Column) -> Column:
+        return F.when(F.length(x["body"]) < least_body, strip(F.concat(x["title"], F.lit("\n"), x["body"]))).otherwise(x["body"])
+
+    both = F.struct(strip(F.coalesce(title, F.lit(""))).alias("title"), strip(F.coalesce(body, F.lit(""))).alias("body"))
+    return F.when(F.coalesce(ok, F.lit(False)), F.substring(let(both, sample), 1, most)).otherwise(F.lit(""))
 
 
 def chosen_source(body: Column, text: Column) -> Column:

@@ -2,28 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.config import TRACKING_KEYS, TRACKING_PREFIX
+from tidemark.functions.text import let
 
 #: scheme, netloc, path, query, fragment
 PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 SCHEME, NETLOC, PATH, QUERY, FRAGMENT = range(1, 6)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with the value computed once however often the body names it; else URL expressions would grow
-    exponentially with each step."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def pieces(url: Column) -> Column:
     """struct(scheme, netloc, path, query)"""
-    return F.struct(*(part(url, k).alias(n) for k, n in ((SCHEME, "scheme"), (NETLOC, "netloc"), (PATH, "path"), (QUERY, "query"))))
+    def taken(u: Column) -> Column:
+        found = {n: F.regexp_extract(u, PARTS, k) for n, k in (("scheme", SCHEME), ("netloc", NETLOC), ("path", PATH), ("query", QUERY))}
+        return F.struct(F.lower(found.pop("scheme")).alias("scheme"), *(c.alias(n) for n, c in found.items()))
+
+    return let(F.regexp_replace(url, "^[\\x00-\\x20]+|[\\t\\r\\n]", ""), taken)
 
 
 def part(url: Column, which: int) -> Column:
@@ -84,7 +82,8 @@ def without_tracking(url: Column) -> Column:
 
     def query(text: Column) -> Column:
         pairs = F.transform(F.filter(F.split(text, "&"), lambda x: F.length(x) > 0), pair)
-        return F.array_join(F.transform(F.filter(pairs, kept), lambda x: F.concat(_encoded(x["key"]), F.lit("="), _encoded(x["value"]))), "&")
+        again = F.array_join(F.transform(F.filter(pairs, kept), lambda x: F.concat(_encoded(x["key"]), F.lit("="), _encoded(x["value"]))), "&")
+        return F.when(text == "", text).otherwise(again)
 
     return let(pieces(url), lambda p: join(p["scheme"], p["netloc"], p["path"], query(p["query"])))
 
@@ -94,9 +93,14 @@ def without_amp(url: Column) -> Column:
     return reduce(lambda u, s: F.regexp_replace(u, s[0], s[1]), steps, url)
 
 
+#: URLs that repairing and stripping leave as they are: they need no taking apart
+PLAIN = r"^https?://[^/?#\x00-\x20]+(?:/[^?#\x00-\x20]*)?$"
+
+
 def finalized(url: Column, strip_amp: bool = True) -> Column:
-    url = without_tracking(repaired(url))
-    return without_amp(url) if strip_amp else url
+    """Repaired, without tracking parameters, and without marks of AMP."""
+    done = F.when(url.rlike(PLAIN), url).otherwise(without_tracking(repaired(url)))
+    return without_amp(done) if strip_amp else done
 
 
 def same_site(a: Column, b: Column) -> Column:

@@ -68,7 +68,6 @@ def extractive(df: DataFrame, id_col: str, text_col: str, config: Config) -> Dat
     """(id, summary): a first line of at most 80 characters as title, and the best sentences of the rest as bullets. Blank texts have
     a blank summary."""
     text = clip(strip(F.coalesce(F.col(text_col), F.lit(""))), config.summary_chars)
-    lines = F.filter(F.transform(F.split(text, LINE_ENDS), strip), lambda x: F.length(x) > 0)
     rows = df.select(F.col(id_col).alias("_id"), text.alias("_text")).withColumn("_lines", F.filter(F.transform(F.split("_text", LINE_ENDS), strip), lambda x: F.length(x) > 0))
     titled = (F.size("_lines") > 0) & (F.length(F.get("_lines", F.lit(0))) <= TITLE_CHARS)
     rest = F.when(titled, F.slice("_lines", F.lit(2), F.size("_lines"))).otherwise(F.col("_lines"))

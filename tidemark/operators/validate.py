@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import HTML_TYPES, Config
 from tidemark.functions import html, urls
+from tidemark.functions.text import let
 from tidemark.operators.ordering import capped, first_of, limited
 
 
@@ -24,13 +25,18 @@ def audited(pages: DataFrame, config: Config) -> DataFrame:
     landed = F.coalesce("final_url", "normalized_url")
     rows = rows.withColumn("_canonical", F.when(F.col("_early").isNull(), link)).withColumn("_landed", landed)
     if config.use_canonical:
-        rows = rows.withColumn("_landed", F.coalesce(urls.safe_canonical(F.col("_landed"), F.col("_canonical"), config.strip_amp), F.col("_landed")))
+        rows = rows.withColumn("_landed", F.coalesce(F.when(F.col("_canonical").isNotNull(), urls.safe_canonical(F.col("_landed"), F.col("_canonical"), config.strip_amp)), F.col("_landed")))
     rows = rows.withColumn("final_url", F.when(F.col("_early").isNull(), urls.finalized(F.col("_landed"), config.strip_amp)).otherwise(landed))
-    rows = rows.withColumn("metrics", F.when(F.col("_early").isNull(), html.metrics(F.coalesce("html", F.lit("")), config.head_bytes, config.min_text_bytes, config.min_text_ratio)))
-    m = F.col("metrics")
-    silent = ~(m["has_title"] | m["has_article"] | m["has_time"] | m["has_jsonld"])
-    reason = F.coalesce(F.col("_early"), F.when(m["text_len"] < config.min_text_bytes, "too_short_text").when(m["text_ratio"] < config.min_text_ratio, "too_low_text_ratio").when(silent, "no_article_signals").otherwise("accepted_content_ready"))
-    rows = rows.withColumn("reason", reason).withColumn("decision", F.when(F.col("reason") == "accepted_content_ready", "accepted").otherwise("filtered"))
+
+    def judged(m: Column) -> Column:
+        silent = ~(m["has_title"] | m["has_article"] | m["has_time"] | m["has_jsonld"])
+        gate = F.when(m["text_len"] < config.min_text_bytes, "too_short_text").when(m["text_ratio"] < config.min_text_ratio, "too_low_text_ratio").when(silent, "no_article_signals").otherwise("accepted_content_ready")
+        return F.struct(m.alias("metrics"), gate.alias("reason"))
+
+    measured = html.metrics(F.coalesce("html", F.lit("")), config.head_bytes, config.min_text_bytes, config.min_text_ratio)
+    rows = rows.withColumn("_judged", F.when(F.col("_early").isNull(), let(measured, judged)))
+    rows = rows.withColumn("metrics", F.col("_judged.metrics")).withColumn("reason", F.coalesce("_early", "_judged.reason"))
+    rows = rows.withColumn("decision", F.when(F.col("reason") == "accepted_content_ready", "accepted").otherwise("filtered"))
     return rows.select("ord", F.col("url").alias("input_url"), "normalized_url", "final_url", "status_code", "content_type", "decision", "reason", "metrics")
 
 
