@@ -159,12 +159,13 @@ def fit_noisy(texts: list[str], labels: list[str], rounds: int = ROUNDS) -> Prof
     return profiles
 
 
-def train(df: DataFrame, codes: list[str], names: dict[str, str], id_col: str, text_col: str, label_col: str, most: int = TRAIN_ROWS) -> Profiles:
+def train(df: DataFrame, codes: list[str], names: dict[str, str], id_col: str, text_col: str, label_col: str, most: int = TRAIN_ROWS) -> Profiles | None:
+    """Profiles of the codes' languages; None without a labelled row."""
     code = label_code(F.col(label_col), names)
     rows = df.select(F.col(text_col).alias("t"), code.alias("c"), F.col(id_col).alias("i")).filter(F.col("c").isin(*codes) & (F.length("t") >= MIN_LETTERS))
     sample = bounded_sample(rows, F.col("i"), most)
     if sample.empty:
-        raise ValueError("no labelled row to fit profiles on")
+        return None
     return fit_noisy(sample["t"].tolist(), sample["c"].tolist())
 
 
@@ -206,12 +207,14 @@ def _identify(profiles) -> object:
 
 def identify(df: DataFrame, languages: DataFrame, id_col: str = "item_id", text_col: str = "text", label_col: str = "lang", train_rows: int = TRAIN_ROWS) -> DataFrame:
     """(id, seg_no, lang, confidence, main, label): for each item with a main language a row with seg_no -1, and a row for each
-    counted paragraph. `label` is the code that the given label spells, null for none. languages: (code, english_name), a small fixed table."""
+    counted paragraph; no rows where no row is labelled. `label` is the code that the given label spells, null for none. languages: (code, english_name), a small fixed table."""
     table = languages.select("code", "english_name").collect()
     codes, names = [r["code"] for r in table], {(r["english_name"] or r["code"]).lower(): r["code"] for r in table}
-    profiles = df.sparkSession.sparkContext.broadcast(train(df, codes, names, id_col, text_col, label_col, train_rows))
+    fitted = train(df, codes, names, id_col, text_col, label_col, train_rows)
+    profiles = df.sparkSession.sparkContext.broadcast(fitted)
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), label_code(F.col(label_col), names).alias("_label"))
+    rows = rows.filter(F.lit(fitted is not None))
     found = rows.mapInArrow(_identify(profiles), f"_id {kind}, _label string, seg_no int, lang string, confidence double, main string")
     return found.select(F.col("_id").alias(id_col), "seg_no", "lang", "confidence", "main", F.col("_label").alias("label"))
 

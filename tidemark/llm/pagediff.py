@@ -163,7 +163,14 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[Page], int,
 def _mark(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: residue.Model = model.value
-        for pages, first, last in _runs(batches):
+        kind: list[pa.DataType] = []
+
+        def seen() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kind[:] = [batch.schema.field(0).type]
+                yield batch
+
+        for pages, first, last in _runs(seen()):
             found = list(difference(pages, first, last))
             rest = []
             for p, out in found:
@@ -176,15 +183,11 @@ def _mark(model):
                 ids.append(p.key)
                 lines.append(out if ok else None)
                 bodies.append(t if ok else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch_type(ids)), pa.array(lines, pa.list_(pa.int32())), pa.array(bodies, pa.string())], ["_id", "lines", "article"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, kind[0]), pa.array(lines, pa.list_(pa.int32())), pa.array(bodies, pa.string())], ["_id", "lines", "article"])
 
     return run
 
 
-def batch_type(ids: list) -> pa.DataType:
-    return pa.string() if ids and isinstance(ids[0], str) else pa.int64()
-
-
 def main_text(df: DataFrame, id_col: str = "scrape_id", url_col: str = "resolved_url", body_col: str = "body", status_col: str = "status_code", ok_col: str = "ok") -> DataFrame:
     """(id, lines, article): the numbers of the lines that aren't part of the article, and the body without them and without blank
     lines; both null for pages without an article."""

@@ -24,6 +24,7 @@ from tidemark.llm.tokenizer import VOCABULARY, coder, vocabulary
 
 SENTENCE, CLAUSE, CLOSING = ".!?…。！？．｡", ",;:，；：、､､—–", "\"'”’»）)]」』】›"
 FIELDS = "piece_no int, token_start int, n_tokens int, char_start int, char_end int, boundary string, piece string"
+WEAKEST = 4  # the weakest boundary that counts as natural
 NAMES = ("end of text", "blank line", "line", "sentence", "clause", "white space", "word", "character", "token")
 
 
@@ -58,27 +59,31 @@ def strengths(cps: np.ndarray) -> np.ndarray:
 
 
 def cuts(n: int, rank: np.ndarray, limit: int, overlap: int) -> list[int]:
-    """Ends of the pieces in tokens. rank[k]: how strong the boundary before token k is (low is strong), 8 if inside a character."""
-    step = limit - overlap
-    count = max(1, -(-(n - overlap) // step))
-    while True:
-        at, ends, reach = 0, [], max(1, n // count // 4)
-        for k in range(1, count):
-            start = max(0, at - overlap)
-            target = round(n * k / count) if count * step >= n else n
-            most = min(start + limit, n - 1)
-            least = max(at + 1, n - overlap - (count - k) * step, target - reach)
-            low, high = least, min(most, target + reach)
-            if low > high:
-                ends = []
-                break
-            window = rank[low : high + 1]
-            best = np.flatnonzero(window == window.min()) + low
-            at = int(best[np.argmin(np.abs(best - target))])
-            ends.append(at)
-        if (ends or count == 1) and n - max(0, (ends[-1] if ends else 0) - overlap) <= limit:
-            return [*ends, n]
-        count += 1
+    """Ends of the pieces in tokens. rank[k]: how strong the boundary before token k is (low is strong), 8 if inside a character.
+
+    A count of pieces fails where the limit leaves a cut no natural boundary although one is near its target; as long as
+    that is so, the text gets one piece more, up to half as many again.
+    """
+    least = max(1, -(-(n - overlap) // (limit - overlap)))
+    for count in range(least, least + least // 2 + 2):
+        if ends := _placed(n, rank, limit, overlap, count, True):
+            return ends
+    return _placed(n, rank, limit, overlap, least, False)
+
+
+def _placed(n: int, rank: np.ndarray, limit: int, overlap: int, count: int, natural: bool) -> list[int]:
+    step, reach, at, ends = limit - overlap, max(1, n // count // 4), 0, []
+    for k in range(1, count):
+        target = round(n * k / count)
+        low = max(at + 1, n - (count - k) * step, target - reach)
+        high = min(max(0, at - overlap) + limit, n - 1, target + reach)
+        window = rank[low : high + 1]
+        best = np.flatnonzero(window == window.min()) + low
+        if natural and window.min() > WEAKEST and rank[max(target - reach, 1) : target + reach + 1].min() <= WEAKEST:
+            return []
+        at = int(best[np.argmin(np.abs(best - target))])
+        ends.append(at)
+    return [*ends, n]
 
 
 def _pieces(text: str, ids: np.ndarray, lengths: np.ndarray, limit: int, overlap: int) -> list[tuple]:

@@ -2,8 +2,9 @@
 
 Each line of each site is tested by the log-likelihood ratio of its frequency within the site against lines' frequency
 elsewhere, and the false discovery rate over all lines is held by the Benjamini-Hochberg rule. Two outside rates are
-compared: that of the very same line in other sites (`site_excess`), and that of an average other line (`excess`). A
-footer that all sites share has no excess of the first kind, yet is repeated by the definition, so significance is
+compared: that of the very same line in other sites (`site_excess`), and that of an incidental line, which stands
+nowhere else: half a record among all, as a line not seen is counted (`excess`). A footer that
+all sites share has no excess of the first kind, yet is repeated by the definition, so significance is
 decided on the second; an exact check of the definition's counts follows.
 
 A site's repeated lines are bounded: each stands in at least `min_share` of the records, so there are at most
@@ -67,16 +68,15 @@ def line_scores(df: DataFrame, url_col: str, body_col: str) -> DataFrame:
     rows = df.select(site_of(F.col(url_col)).alias("site"), F.array_distinct(F.array_compact(line_keys(F.col(body_col)))).alias("keys"), F.col(body_col).isNotNull().alias("there")).filter("site is not null and there")
     sizes = rows.groupBy("site").agg(F.count("*").alias("site_records"))
     counts = cut(rows.select("site", F.explode("keys").alias("line_key")).groupBy("site", "line_key").agg(F.count("*").alias("records")))
-    sums = counts.agg(F.sum("records").alias("s"), F.count("*").alias("l")).crossJoin(sizes.agg(F.sum("site_records").alias("n"))).first()  # two single rows
-    total, lines, records = float(sums["s"] or 0), float(sums["l"] or 0), float(sums["n"] or 0)
+    lines, records = float(counts.count()), float(sizes.agg(F.sum("site_records").alias("n")).first()["n"] or 0)
     again = counts.filter("records > 1")  # a line that stands once has no excess to test; it counts as a test below
     everywhere = counts.groupBy("line_key").agg(F.sum("records").alias("anywhere"))
     k, n = F.col("records").cast("double"), F.col("site_records").cast("double")
-    average = (total - k) / F.lit(max(lines - 1, 1.0) * max(records, 1.0))
+    incidental = F.lit(0.5 / max(records, 1.0))
     same = (F.col("anywhere") - k + 0.5) / (F.lit(records) - n + 1)
     return (
         again.join(sizes, "site").join(everywhere, "line_key")
-        .select("site", "line_key", "records", "site_records", (F.col("anywhere") - F.col("records")).alias("elsewhere"), _llr(k, n, F.greatest(average, F.lit(1e-12))).alias("excess"), _llr(k, n, same).alias("site_excess"), F.lit(lines).alias("tests"))
+        .select("site", "line_key", "records", "site_records", (F.col("anywhere") - F.col("records")).alias("elsewhere"), _llr(k, n, incidental).alias("excess"), _llr(k, n, same).alias("site_excess"), F.lit(lines).alias("tests"))
     )
 
 
