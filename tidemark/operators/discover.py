@@ -33,12 +33,13 @@ def answer_json(text: Column) -> Column:
 def candidates(df: DataFrame, raw_col: str, config: Config, strict: bool = True) -> DataFrame:
     """Candidates of answers in `raw_col`: title, url, source, date_iso, is_article_url. What is no JSON array raises an error, or
     gives no rows if not strict."""
-    raw = df.select(answer_json(F.col(raw_col)).alias("j"))
-    items = F.from_json("j", f"array<struct<{CANDIDATE}>>")
-    valid = F.coalesce(F.get_json_object("j", "$[0]").isNotNull() | F.col("j").rlike("(?s)^\\[\\s*\\]$"), F.lit(False)) & F.col("j").startswith("[")
+    raw = df.select(answer_json(F.coalesce(F.col(raw_col), F.lit(""))).alias("j"))
+    items = F.from_json("j", "array<string>")  # element by element: one that is no object costs only itself
+    valid = F.col("j").startswith("[") & items.isNotNull()
     if strict:
-        items = F.when(valid, items).otherwise(F.raise_error(F.concat(F.lit("no JSON array: "), F.substring("j", 1, 200))).cast(f"array<struct<{CANDIDATE}>>"))
-    rows = raw.select(F.explode(items).alias("c")).select("c.*").withColumn("url", strip(F.col("url")))
+        items = F.when(valid, items).otherwise(F.raise_error(F.concat(F.lit("no JSON array: "), F.substring("j", 1, 200))).cast("array<string>"))
+    objects = raw.select(F.explode(items).alias("o")).filter(F.ltrim("o").startswith("{"))
+    rows = objects.select(F.from_json("o", f"struct<{CANDIDATE}>").alias("c")).select(F.coalesce("c.title", F.lit("")).alias("title"), strip(F.coalesce("c.url", F.lit(""))).alias("url"), F.coalesce("c.source", F.lit("")).alias("source"), "c.date_iso")
     kept = rows.filter(F.col("url").rlike("^https?://") & urls.in_domains(urls.host(F.col("url")), config.accepted_domains))
     return kept.withColumn("is_article_url", urls.looks_like_article(F.col("url")))
 

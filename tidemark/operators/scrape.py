@@ -25,7 +25,7 @@ def scraped(pages: DataFrame, config: Config, fetcher: Fetcher | None = None, ch
     if config.follow_amp and fetcher is not None:
         retry = first.filter(F.col("_page").isNotNull() & F.col("_got.body").isNull()).withColumn("_amp", urls.amp_link(F.col("_page"))).filter("_amp is not null")
         again = fetched(retry.select("ord", F.col("_amp").alias("url")), fetcher).filter("error is null and html is not null")
-        again = _read(again.join(retry.select("ord", F.col("url").alias("_url")), "ord").drop("url").withColumnRenamed("_url", "url"), chain).withColumn("used_amp", F.lit(True))
+        again = _read(again.join(retry.select("ord", F.col("url").alias("_url")), "ord").drop("url").withColumnRenamed("_url", "url"), chain).withColumn("used_amp", F.lit(True)).select(first.columns)
         first = first.join(again.select("ord"), "ord", "left_anti").unionByName(again)
     title, body = F.trim(F.coalesce(F.col("_got.title"), F.lit(""))), F.col("_got.body")
     rows = first.withColumn("title", F.when(body.isNotNull(), title)).withColumn("body", clean(without_title(title, body)))
