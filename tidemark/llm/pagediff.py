@@ -26,10 +26,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import residue
+from tidemark.llm.recode import read
 from tidemark.llm.sitelines import site_of
 
 REACH, SEGMENT, SUPPORT = 32, 512, 1
 SAME_ARTICLE, PARAGRAPH, LEADS, LEAST_LETTERS = 0.15, 130, 0.5, 6
+PAGES = ("cp1252", "cp1251", "mac-roman", "cp850", "cp437")
+_TWO_HIGH = re.compile("[\x80-\u25ff]{2}")
 _MARKS = re.compile(r"^(?:[•*›»→▸·\-–—]|\d{1,4}[.)])+\s*|\s*[→»›]+$")
 _BLANKS = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
@@ -48,6 +51,20 @@ def normal(line: str) -> str:
     return _DIGITS.sub("0", line.lower()).strip()
 
 
+def mended(line: str) -> str:
+    """The line as it is compared: UTF-8 that was read in a single-byte page reads right again. What else this changes, it changes alike on all pages."""
+    if " " not in line and "Â" not in line:
+        line = line.replace("\xa0", " ")
+    for _ in range(2):
+        if not _TWO_HIGH.search(line):
+            break
+        new = next((x for page in PAGES if (x := read(line, page, "utf-8"))), None)
+        if new is None:
+            break
+        line = new
+    return line
+
+
 def increasing(places: list[int]) -> list[int]:
     """Indexes of a longest strictly increasing subsequence."""
     tails: list[int] = []
@@ -73,12 +90,13 @@ class Page:
 
     def __init__(self, key, site: str, body: str):
         self.key, self.site, self.lines = key, site, body.split("\n")
-        self.keys = [normal(x) for x in self.lines]
+        plain = [mended(x) for x in self.lines]
+        self.keys = [normal(x) for x in plain]
         self.place: dict[str, int] = {}
         for k, x in enumerate(self.keys):
             if x:
                 self.place.setdefault(x, k)
-        self.sentences = {hash(s) for x in self.lines if len(x) >= PARAGRAPH or (len(x) >= PARAGRAPH * 2 // 5 and "⺀" < x[2] < "\ufffe") for s in _SENTENCES.split(x.lower()) if len(s) > 9}
+        self.sentences = {hash(s) for x in plain if len(x) >= PARAGRAPH or (len(x) >= PARAGRAPH * 2 // 5 and "⺀" < x[2] < "\ufffe") for s in _SENTENCES.split(x.lower()) if len(s) > 9}
         self.shared: Counter = Counter()
 
 

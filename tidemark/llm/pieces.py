@@ -24,7 +24,7 @@ from tidemark.llm.tokenizer import VOCABULARY, coder, vocabulary
 
 SENTENCE, CLAUSE, CLOSING = ".!?…。！？．｡", ",;:，；：、､､—–", "\"'”’»）)]」』】›"
 FIELDS = "piece_no int, token_start int, n_tokens int, char_start int, char_end int, boundary string, piece string"
-WEAKEST = 4  # the weakest boundary that counts as natural
+WEAKEST, INSIDE = 4, 8  # the weakest boundary that counts as natural; a place inside a character
 NAMES = ("end of text", "blank line", "line", "sentence", "clause", "white space", "word", "character", "token")
 
 
@@ -61,8 +61,8 @@ def strengths(cps: np.ndarray) -> np.ndarray:
 def cuts(n: int, rank: np.ndarray, limit: int, overlap: int) -> list[int]:
     """Ends of the pieces in tokens. rank[k]: how strong the boundary before token k is (low is strong), 8 if inside a character.
 
-    A count of pieces fails where the limit leaves a cut no natural boundary although one is near its target; as long as
-    that is so, the text gets one piece more, up to half as many again.
+    A count of pieces fails where the limit leaves a cut no natural boundary although one is near its target, or no end of a
+    character; as long as that is so, the text gets one piece more, up to half as many again.
     """
     least = max(1, -(-(n - overlap) // (limit - overlap)))
     for count in range(least, least + least // 2 + 2):
@@ -79,7 +79,8 @@ def _placed(n: int, rank: np.ndarray, limit: int, overlap: int, count: int, natu
         high = min(max(0, at - overlap) + limit, n - 1, target + reach)
         window = rank[low : high + 1]
         best = np.flatnonzero(window == window.min()) + low
-        if natural and window.min() > WEAKEST and rank[max(target - reach, 1) : target + reach + 1].min() <= WEAKEST:
+        near = rank[max(target - reach, 1) : target + reach + 1].min()
+        if natural and window.min() > max(WEAKEST, near) and (near <= WEAKEST or window.min() == INSIDE):
             return []
         at = int(best[np.argmin(np.abs(best - target))])
         ends.append(at)
