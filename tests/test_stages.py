@@ -170,6 +170,12 @@ def test_cli(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(cli, "local", lambda: spark)
     assert cli.main(["--pages", folder, "--once", "--audit", str(tmp_path / "audit")]) == 0
     assert len(list((tmp_path / "out").iterdir())) == 1
+    stored = fetch.StoredFetcher((("https://e.com/news/2", 200, "text/html", ARTICLE.encode()),))
+    model = CallableModel(lambda t: '[{"title": "x", "url": "https://e.com/news/2"}, {"url": "https://e.com/gone"}]' if t.endswith("rivers") else "no idea")
+    monkeypatch.setenv("TIDEMARK_ACCEPTED_DOMAINS", "e.com")
+    assert cli.main(["--interests", "rivers, lakes", "--once", "--audit", str(tmp_path / "audit2")], model, stored) == 0
+    assert spark.read.json(str(tmp_path / "audit2")).select("reason").collect()[0][0] == "accepted_content_ready"
+    assert discover.proposed(spark.createDataFrame([("a",)], "t string"), "t", Config(), None).count() == 0
     assert sinks.append_json(spark.range(1), "/proc/none/x") is False
 
 

@@ -7,22 +7,29 @@ import logging
 import signal
 import threading
 import time
+from dataclasses import replace
 
 from pyspark.sql.functions import lit
 
 from tidemark.config import Config
 from tidemark.operators.deliver import today
-from tidemark.operators.discover import recipients
+from tidemark.operators.discover import proposed, recipients
 from tidemark.plans import pipeline
 from tidemark.session import local
-from tidemark.sources.fetch import HttpFetcher, fetched, url_list
+from tidemark.sources.fetch import Fetcher, HttpFetcher, fetched, url_list
+from tidemark.sources.models import Model
 from tidemark.sources.sinks import append_json, delivered
 
 
+PAGE_COLUMNS = ("ord", "url", "final_url", "status_code", "content_type", "html", "error")
+
+
 def arguments(given: list[str] | None = None) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="tidemark", description=__doc__)
     p.add_argument("--pages", help="Parquet of pages; else the URLs are fetched")
     p.add_argument("urls", nargs="*")
+    p.add_argument("--interests", help="topics for which a model proposes URLs, separated by commas")
+    p.add_argument("--max-articles", type=int, help="bounds the URLs that discovery asks for")
     p.add_argument("--interval", type=float, default=86400, help="seconds between cycles")
     p.add_argument("--once", action="store_true")
     p.add_argument("--audit", default="audit.jsonl")
@@ -30,8 +37,10 @@ def arguments(given: list[str] | None = None) -> argparse.Namespace:
     return p.parse_args(given)
 
 
-def main(given: list[str] | None = None) -> int:
+def main(given: list[str] | None = None, model: Model | None = None, fetcher: Fetcher | None = None) -> int:
     args, config, stop = arguments(given), Config.from_env(), threading.Event()
+    config = replace(config, max_articles=args.max_articles) if args.max_articles else config
+    fetcher = fetcher or HttpFetcher()
     logging.basicConfig(level=args.log_level.upper())
     if threading.current_thread() is threading.main_thread():
         for s in (signal.SIGINT, signal.SIGTERM):
@@ -39,7 +48,11 @@ def main(given: list[str] | None = None) -> int:
     spark = local()
     while True:
         began = time.monotonic()
-        pages = spark.read.parquet(args.pages) if args.pages else fetched(url_list(spark, args.urls), HttpFetcher())
+        if args.interests:
+            found = proposed(spark.createDataFrame([(args.interests,)], "t string"), "t", config, model, fetcher)
+        else:
+            found = url_list(spark, args.urls)
+        pages = spark.read.parquet(args.pages) if args.pages else fetched(found, fetcher).select(*PAGE_COLUMNS)
         pages = pages.persist()
         digest = pipeline.run(pages, config, today(config))
         append_json(digest.audit, args.audit)

@@ -10,6 +10,10 @@ from tidemark.functions import urls
 from tidemark.functions.text import strip
 from tidemark.operators.ordering import first_of, limited
 from tidemark.schemas import CANDIDATE
+from tidemark.sources.fetch import Fetcher, reachable
+from tidemark.sources.models import Model, answered
+
+PROMPT = "Name recent news articles on the topic below as a JSON array of objects with title, url, source and date_iso (YYYY-MM-DD). Answer with the array only. Topic: "
 
 
 def interests(text: Column) -> Column:
@@ -47,3 +51,15 @@ def candidates(df: DataFrame, raw_col: str, config: Config, strict: bool = True)
 def discovered(df: DataFrame, config: Config, ord_col: str = "ord", url_col: str = "url") -> DataFrame:
     """The first of each URL that isn't blank, up to the limit of discovery."""
     return limited(first_of(df.filter(F.length(url_col) > 0), url_col, ord_col=ord_col), config.discovery_limit, ord_col)
+
+
+def proposed(df: DataFrame, text_col: str, config: Config, model: Model | None, fetcher: Fetcher | None = None) -> DataFrame:
+    """(ord, url) that a model proposes for the interests in `text_col`: an answer for each interest, its candidates, the first of each URL,
+    those that can be reached if a fetcher is given, up to the limit. Without a model there is none."""
+    words = df.select(F.explode(interests(F.col(text_col))).alias("interest")).distinct().withColumn("id", F.xxhash64("interest"))
+    if model is None:
+        return words.limit(0).select(F.lit(0).cast("bigint").alias("ord"), F.col("interest").alias("url"))
+    asked = words.select("id", F.concat(F.lit(PROMPT), "interest").alias("t"))
+    urls_ = candidates(answered(asked, "id", "t", model, 1), "answer", config, strict=False).select("url").distinct()
+    rows = urls_.select(F.xxhash64("url").alias("ord"), "url")  # answers have no order of their own
+    return discovered(reachable(rows, fetcher) if fetcher is not None else rows, config)
