@@ -146,6 +146,18 @@ def test_single_byte_ciphers_are_learned_as_tables(spark):
     assert [r["restored"] for r in recode.restore(df, found).collect()] == [ru]
 
 
+@pytest.mark.parametrize("shown, written", [("cp1251", "koi8-r"), ("koi8-r", "cp1251")])
+def test_a_swap_of_many_rows_does_not_vouch_for_itself(shown, written):
+    nouns = "мост совет город фермер сосед рынок школа река дорога музей театр вокзал завод поле берег парк".split()
+    verbs = "открыли закрыли построили обсудили увидели проверили отложили одобрили продали осмотрели".split()
+    texts = [f"В понедельник жители узнали, что {nouns[k % 16]} и {nouns[k * 7 % 16]} вчера {verbs[k % 10]}, а {nouns[k * 5 % 16]} снова {verbs[k * 3 % 10]} после долгих споров номер {k}." for k in range(100)]
+    bad = {k for k in range(100) if k % 10 in (1, 4, 8)}
+    rows = [t.encode(written).decode(shown) if k in bad else t for k, t in enumerate(texts)] + [EN, DE, FR, JA, ZH] * 10
+    model = recode.fit(rows)
+    found = {k: recode.diagnose(t, model) for k, (t, d) in enumerate(zip(rows, recode.suspicious(rows, model))) if d}
+    assert {k for k, x in found.items() if x} == bad and all(x[0][1] == f"{shown}>{written}" for k, x in found.items() if k in bad)
+
+
 def test_bounded_sample(spark):
     from pyspark.sql import functions as F
 

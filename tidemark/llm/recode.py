@@ -4,8 +4,9 @@ A wrong decoding is a substitution cipher whose alphabet is one code page's read
 a source (host) uses is hidden. A character-bigram model of the corpus's own clean text says how well each reading fits:
 
 1. The bigram model is fitted on a bounded sample of rows (FIT_ROWS with the least hashes of their ids), then again without
-   the sample's garbled fields.
-2. Fields with bigrams that the model hasn't seen are read under every cipher (single-byte, UTF-8 in a single-byte
+   the sample's garbled fields: first those of which some reading is likelier than the text as shown, however often its
+   bigrams stand in the sample, then those with bigrams that the rest of the sample lacks.
+2. Fields with bigrams that the model hasn't seen, or with lines that are unlikely as a whole, are read under every cipher (single-byte, UTF-8 in a single-byte
    reading, one multi-byte code in another's reading, and readings of readings), line by line and run by run.
 3. Expectation-maximization: the E step gives each line's ciphers probabilities from likelihood times the source's prior,
    the M step sets the source's prior to the expected use. Priors then decide lines that several readings fit.
@@ -35,6 +36,7 @@ from tidemark.llm.sitelines import site_of
 FIT_ROWS = 5000
 BITS = 20
 LEAST_GAIN, DENSE, ROUNDS, PROBE, BACK_OFF = 8.0, 0.25, 2, 240, 5.0
+UNLIKELY, FEW, FIT_ROUNDS, HOPELESS = -5.2, 8, 6, -1.5
 READ_AS = ("cp1252", "cp1251", "koi8-r", "mac-roman", "cp437", "cp850", "iso8859-15", "cp1250")
 MULTI = ("gb18030", "cp932", "euc-jp", "cp949", "big5")
 WRITTEN_IN = ("utf-8", *MULTI, "koi8-r", "cp1251", "cp866", "cp1252", "mac-roman", "cp850")
@@ -191,8 +193,25 @@ def marks(cps: np.ndarray, model: Bigrams) -> np.ndarray:
     return ((model.pair[model.slots(cps)] < 1) & (high[1:] | high[:-1])) | seldom[:-1] | _odd(cps[:-1])
 
 
+def unlikely(cps: np.ndarray, model: Bigrams) -> np.ndarray:
+    """For each line of the folded characters, which start and end with a line end, whether it is mostly beyond ASCII and its pairs are seldom ones on average."""
+    breaks = np.flatnonzero(cps == 10)
+    high = cps > 127
+    at = np.flatnonzero(high[1:] | high[:-1])
+    before, after = cps[at] & 0xFFFF, cps[at + 1] & 0xFFFF
+    scores = np.zeros(len(cps))
+    scores[at] = np.log((model.pair[model.slots(cps)[at]] + BACK_OFF * model.share[after]) / (model.single[before] + BACK_OFF))
+    pairs = np.zeros(len(cps), np.int64)
+    pairs[at] = 1
+    total = lambda x: np.add.reduceat(x, breaks[:-1]) if len(breaks) > 1 else x[:0]
+    n = total(pairs)
+    dense = total(high.astype(np.int64)) * 10 >= 3 * total(((cps != 32) & (cps != 10)).astype(np.int64))
+    return dense & (n >= FEW) & (total(scores) < UNLIKELY * n)
+
+
 def suspicious(texts: list[str], model: Bigrams) -> np.ndarray:
-    """For each text whether it holds an odd character, two marks in a row, or a mark between two letters or signs of an alphabet, both beyond ASCII."""
+    """For each text whether it holds an odd character, two marks in a row, a mark between two letters or signs of an alphabet,
+    both beyond ASCII, or an unlikely line."""
     found = np.zeros(len(texts), bool)
     for a, b in tc.chunks(texts):
         whole, starts, ends = tc.joined(texts[a:b])
@@ -201,6 +220,9 @@ def suspicious(texts: list[str], model: Bigrams) -> np.ndarray:
         mark[:-1] &= mark[1:] | _odd(cps[:-1]) | ((cps[:-1] > 127) & (cps[:-1] < 0x590) & (cps[1:] > 127))
         sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(mark)])
         found[a:b] = sums[ends] > sums[starts]
+        lines = np.flatnonzero(cps == 10)
+        seldom = unlikely(np.concatenate([np.full(1, 10, cps.dtype), cps]), model)
+        found[a + np.unique(np.searchsorted(ends, lines[seldom]))] = True
     return found
 
 
@@ -273,9 +295,10 @@ def diagnose(text: str, model: Bigrams) -> list[tuple[int, str, float]]:
             continue
         cps = model.fold(tc.codes("\n" + plain + "\n"))
         mark, high = marks(cps, model), cps > 127
-        if not mark.any():
+        seldom = unlikely(cps, model).any()
+        if not (mark.any() or seldom):
             continue
-        rare = mark.sum() / max((high[1:] | high[:-1]).sum(), 1)
+        rare = 1.0 if seldom else mark.sum() / max((high[1:] | high[:-1]).sum(), 1)
         known = _again(plain, model, rows)
         found = known or readings(plain, model, rare, max(int(mark.argmax()) - 1, 0))
         rows += [(n, c, g) for c, g in found]
@@ -286,19 +309,62 @@ def diagnose(text: str, model: Bigrams) -> list[tuple[int, str, float]]:
 
 def _doubtful(text: str) -> bool:
     """Before there is a model: whether UTF-8 in a single-byte reading, lines that are mostly Western signs or odd characters stand in a text."""
-    if _odd(tc.codes(text)).any() or any(len(_utf8_units(page).findall(text)) > (page in ("cp1251", "koi8-r")) for page in READ_AS):
+    if _odd(tc.codes(text)).any() or any(_utf8_units(page).search(text) for page in READ_AS if page not in ("cp1251", "koi8-r")):
         return True
     for line in text.split("\n"):
+        for page in ("cp1251", "koi8-r"):  # clean Cyrillic has single sequences too, such as an IO or a quotation mark after a letter
+            inside = sum(map(len, _utf8_units(page).findall(line)))
+            if inside > 3 and inside * 10 >= 3 * sum(c > "\x7f" for c in line):
+                return True
         western = sum("\x7f" < c < "\u0250" for c in line)
         if western > 3 and western * 10 >= 3 * (len(line) - line.count(" ")):
             return True
     return False
 
 
+def _dense(line: str) -> bool:
+    return sum(c > "\x7f" for c in line) * 10 >= 3 * (len(line) - line.count(" "))
+
+
+def _line_totals(text: str, model: Bigrams) -> np.ndarray:
+    cps = tc.codes("\n" + text + "\n")
+    return np.add.reduceat(model.scores(text), np.flatnonzero(cps == 10)[:-1])
+
+
+def _likeliest_as_shown(texts: list[str]) -> list[str]:
+    """The texts of which no line that is mostly beyond ASCII is likelier in another reading, by the model of these texts. Each
+    round's model lacks what the round before found, so that a swap which many texts have in common loses its support."""
+    model, rivals = Bigrams.fit(texts), []
+    for k, t in enumerate(texts):
+        shown = "\n".join(x[:PROBE] for x in t.split("\n") if not x.isascii() and _dense(x))
+        if not shown:
+            continue
+        base, least = _line_totals(shown, model), HOPELESS * np.fromiter((sum(c > "\x7f" for c in x) for x in shown.split("\n")), float)
+        for page, written in _possible(shown, 1.0):
+            new = read(shown, page, written)
+            if new is None or new == shown or new.count("\n") != len(base) - 1:
+                continue
+            close = np.flatnonzero((gain := _line_totals(new, model) - base) > least)
+            a, b = shown.split("\n"), new.split("\n")
+            rivals += [(k, a[n], b[n], gain[n]) for n in close.tolist() if a[n] != b[n]]
+    gone = {k for k, *_, g in rivals if g > LEAST_GAIN}
+    for _ in range(FIT_ROUNDS):
+        if not gone or len(gone) == len(texts):
+            break
+        model = Bigrams.fit([t for k, t in enumerate(texts) if k not in gone])
+        gains = _line_totals("\n".join(b for _, _, b, _ in rivals), model) - _line_totals("\n".join(a for _, a, _, _ in rivals), model)
+        after = {k for (k, *_), g in zip(rivals, gains.tolist()) if g > LEAST_GAIN}
+        if after == gone:
+            break
+        gone = after
+    return [t for k, t in enumerate(texts) if k not in gone]
+
+
 def fit(texts: list[str]) -> Bigrams:
-    """The model of clean text: fitted without doubtful fields, then without those that the other half's model finds damaged
-    (a field's own signs would speak for it)."""
+    """The model of clean text: fitted without doubtful fields and those likelier in another reading, then without those that
+    the other half's model finds damaged (a field's own signs would speak for it)."""
     texts = [t for t in texts if not _doubtful(t)] or texts
+    texts = _likeliest_as_shown(texts) or texts
     clean: list[str] = []
     for k in (0, 1):
         model, judged = Bigrams.fit(texts[1 - k :: 2]), texts[k::2]
