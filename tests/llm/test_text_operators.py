@@ -66,6 +66,13 @@ def test_page_differencing(spark):
     assert pagediff.main_text(pages(spark).limit(0)).count() == 0
 
 
+def test_pages_without_resolved_url_are_placed_by_the_url_asked_for(spark):
+    df = pages(spark).selectExpr("scrape_id", "resolved_url as input_url", "case when scrape_id not in (7, 8) then resolved_url end as resolved_url", "body", "status_code", "ok")
+    out = {r["scrape_id"]: r for r in pagediff.main_text(df, asked_col="input_url").collect()}
+    assert len(out[7]["lines"]) == 5 and len(out[8]["lines"]) == 3 and 101 not in out
+    assert out[100]["article"] == "text" and out[100]["lines"] == []
+
+
 def test_versions_of_one_article_are_no_pair():
     body = "\n".join(f"A long paragraph number {k} with enough words in it to be an article, about the same bridge and the same mayor, and the letters of {k} people to the council of it." for k in range(5))
     a, b = pagediff.Page(1, "s", body), pagediff.Page(2, "s", body + "\nOne more line")

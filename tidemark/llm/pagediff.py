@@ -10,7 +10,8 @@ unshared line without an end of sentence, or carry arrows; the run of such lines
 
 The order is a range partitioning, so a host with a third of all pages is many tasks; a task holds a few hundred
 pages at a time. At a task's edge a page has neighbours on one side only. Pages whose remaining text is empty, or
-is residue (see residue), hold no article and are left out. Null bodies and null URLs have no neighbours and no rows.
+is residue (see residue), hold no article and are left out. Where the resolved URL is missing, the URL asked for places a page;
+null bodies have no rows, and pages without any URL have no neighbours and keep their body.
 """
 
 from __future__ import annotations
@@ -206,18 +207,26 @@ def _mark(model):
     return run
 
 
-def main_text(df: DataFrame, id_col: str = "scrape_id", url_col: str = "resolved_url", body_col: str = "body", status_col: str = "status_code", ok_col: str = "ok") -> DataFrame:
+def main_text(df: DataFrame, id_col: str = "scrape_id", url_col: str = "resolved_url", body_col: str = "body", status_col: str = "status_code", ok_col: str = "ok", asked_col: str | None = None) -> DataFrame:
     """(id, lines, article): the numbers of the lines that aren't part of the article, and the body without them and without blank
-    lines; both null for pages without an article."""
+    lines; both null for pages without an article. asked_col: the URL of pages that lack one in url_col; with it, pages without
+    a site by either have a row too, with no lines and the body as it is."""
     model = df.sparkSession.sparkContext.broadcast(residue.train(df, id_col, body_col, status_col, ok_col))
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("_id"), site_of(F.col(url_col)).alias("site"), F.col(body_col).alias("body"), url_path(F.col(url_col)).alias("path")).filter("site is not null and body is not null")
+    url = F.col(url_col)
+    if asked_col:
+        url = F.when(site_of(url).isNotNull(), url).otherwise(F.col(asked_col))
+    every = df.select(F.col(id_col).alias("_id"), site_of(url).alias("site"), F.col(body_col).alias("body"), url_path(url).alias("path")).filter("body is not null")
+    rows = every.filter("site is not null")
     ordered = rows.repartitionByRange("site", "path", "_id").sortWithinPartitions("site", "path", "_id").select("_id", "site", "body")
-    return ordered.mapInArrow(_mark(model), f"_id {kind}, lines array<int>, article string").withColumnRenamed("_id", id_col)
+    marked = ordered.mapInArrow(_mark(model), f"_id {kind}, lines array<int>, article string")
+    if asked_col:
+        marked = marked.union(every.filter("site is null").select("_id", F.array().cast("array<int>"), "body"))
+    return marked.withColumnRenamed("_id", id_col)
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return main_text(spark.read.parquet(f"{sf_dir}/scrape_meta.parquet").select("scrape_id", "resolved_url", "body", "status_code", "ok"))
+    return main_text(spark.read.parquet(f"{sf_dir}/scrape_meta.parquet").select("scrape_id", "input_url", "resolved_url", "body", "status_code", "ok"), asked_col="input_url")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
