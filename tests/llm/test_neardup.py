@@ -65,6 +65,14 @@ def test_classes_and_links(made):
     assert got[0][1] == got[1][1] and len(got) == 243
 
 
+def test_every_page_has_a_class(spark, tmp_path):
+    long = " ".join(f"word{k}" for k in range(100))
+    rows = [(1, long), (2, long + " more"), (3, "short text"), (4, None), (5, "short text"), (6, " "), (7, " "), (8, None), (9, "other text")]
+    spark.createDataFrame(rows, "scrape_id bigint, body string").write.parquet(f"{tmp_path}/scrape_meta.parquet")
+    got = {r["scrape_id"]: (r["class_id"], r["links"]) for r in neardup.p1_classes(spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 5: (3, 0), **{k: (k, 0) for k in (4, 6, 7, 8, 9)}}
+
+
 def test_hot_bucket_is_cut_into_blocks_without_loss(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 4)
     keyed = spark.createDataFrame([(1, k) for k in range(30)] + [(2, 99)], "bucket bigint, id bigint")

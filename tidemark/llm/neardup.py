@@ -247,6 +247,17 @@ def classes(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return joined.select("id", F.coalesce("c", "rep").alias("class_id"), F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
 
 
+def with_rest(classed: DataFrame, df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, class_id, links) of every id of df: those that `classed` lacks have no links, and are one class where their texts are
+    equal; without text each is its own."""
+    every = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+    rest = every.join(classed.select("id"), "id", "left_anti").select("id", F.when(F.trim("text") != "", F.sha2("text", 256)).alias("same"))
+    rest = cut(rest.groupBy("id").agg(F.min("same").alias("same")))
+    least = rest.filter("same is not null").groupBy("same").agg(F.min("id").alias("c"))
+    alone = rest.join(least, "same", "left").select("id", F.coalesce("c", "id").alias("class_id"), F.lit(0).cast("bigint").alias("links"))
+    return classed.union(alone)
+
+
 def _similar_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     pages = spark.read.parquet(f"{sf_dir}/scrape_meta.parquet").select("scrape_id", "body")
     return similar(pages, threshold=0.5, words=4, id_col="scrape_id", text_col="body", min_letters=300)
@@ -257,4 +268,5 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(*_similar_pages(spark, sf_dir)).withColumnRenamed("id", "scrape_id")
+    pages = spark.read.parquet(f"{sf_dir}/scrape_meta.parquet").select("scrape_id", "body")
+    return with_rest(cut(classes(*_similar_pages(spark, sf_dir))), pages, "scrape_id", "body").withColumnRenamed("id", "scrape_id")
