@@ -1,55 +1,67 @@
 """Problem 6: text that was decoded in the wrong code page.
 
-A wrong decoding is a substitution cipher whose alphabet is one code page's reading of another one's bytes. Which cipher
-a source (host) uses is hidden. A character-bigram model of the corpus's own clean text says how well each reading fits:
-
-1. The bigram model is fitted on a bounded sample of rows (FIT_ROWS with the least hashes of their ids), then again without
-   the sample's garbled fields: first those of which some reading is likelier than the text as shown, however often its
-   bigrams stand in the sample, then those with bigrams that the rest of the sample lacks.
-2. Fields with bigrams that the model hasn't seen, or with lines that are unlikely as a whole, are read under every cipher (single-byte, UTF-8 in a single-byte
-   reading, one multi-byte code in another's reading, and readings of readings), line by line and run by run.
-3. Expectation-maximization: the E step gives each line's ciphers probabilities from likelihood times the source's prior,
-   the M step sets the source's prior to the expected use. Priors then decide lines that several readings fit.
-4. The chosen lines teach a table from garbled symbols to letters, with expected counts per source; for ciphers in which
-   every symbol is one character it is applied with translate(), for others symbol by symbol.
-
-Signs between quotation marks are a text's subject, not its damage, unless signs outside of quotes are damaged too.
-Replacement characters (U+FFFD) outside of quotes are damage that can't be undone. Null and blank fields are no cases.
+A wrong decoding is a substitution cipher: each symbol (one or more shown characters, the wrong reading of a letter's bytes) stands
+for a letter. Which cipher a source (host) uses, if any, is hidden, and so is what each symbol stands for. Both are learned by
+expectation-maximization against bigrams of the corpus's own languages, counted over all rows:
+
+1. Bigrams of all fields are counted (a table of fixed size). Damaged text is in it; the M steps take it out.
+2. Lines that could be damaged are those with UTF-8 sequences as some single-byte page shows them, with characters that no text
+   holds, or with seldom pairs beyond ASCII. They get all readings that raise their likelihood; this only bounds the work.
+3. E step: each line is as shown or under one of its source's ciphers, by likelihood times the source's prior. For single-byte
+   ciphers a forward-backward pass over what each byte may stand for (its letter in any page, its letter learned for the source)
+   gives expected counts of byte-to-letter pairs.
+   M step: the priors of the source's ciphers, its byte-to-letter table, and the bigrams, from which expected damage is taken out.
+4. A line is damaged if a cipher is likelier than the line as shown. The damaged lines teach each source's table of symbols, which
+   translate() applies: symbols of several characters are first written as one private character each.
+
+A text that quotes a few garbled signs (at most QUOTE between quotation marks) has them as its subject; signs outside of quotes decide.
+Replacement characters (U+FFFD) and C1 controls outside of quotes are damage that can't be undone. Null and blank fields are no
+cases; repeated ids count as one record.
 """
 
 from __future__ import annotations
 
 import codecs
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import textcodes as tc
 from tidemark.llm.checkpoints import cut
-from tidemark.llm.sampling import bounded_sample
 from tidemark.llm.sitelines import site_of
 
-FIT_ROWS = 5000
-BITS = 20
-LEAST_GAIN, DENSE, ROUNDS, PROBE, BACK_OFF = 8.0, 0.25, 2, 240, 5.0
-UNLIKELY, FEW, FIT_ROUNDS, HOPELESS = -5.2, 8, 6, -1.5
+BITS, BACK_OFF = 20, 5.0
+LEAST_GAIN, ROUNDS, QUOTE = 6.0, 3, 16  # nats that a reading has to gain beyond the odds of its cipher; rounds of EM; signs
+RARE, SPARSE, LOOSE = -12.5, -11.5, 2.6  # mean log frequency of a line's pairs, and mean log of how much likelier than by chance they are, below which readings are tried
+FREQUENCY = 0.5  # weight of the letters' own frequency beside their bigrams: a swap of two alphabets keeps the structure of the bigrams
+FAR, MOST_KNOWN = 30.0, 400_000  # nats; lines
+CLEAN, CIPHER = 200.0, 0.01  # lines as shown that each source is taken to have beforehand; share of damaged lines before any is known
+TRUST, SHARP, KEEP = 40.0, 8, 0.001  # weight of the code pages' own tables in a source's table; how sharply a page is preferred that explains more of it; least share of a letter to be kept
+GROUP = 256  # lines a row of the table of groups
 READ_AS = ("cp1252", "cp1251", "koi8-r", "mac-roman", "cp437", "cp850", "iso8859-15", "cp1250")
 MULTI = ("gb18030", "cp932", "euc-jp", "cp949", "big5")
-WRITTEN_IN = ("utf-8", *MULTI, "koi8-r", "cp1251", "cp866", "cp1252", "mac-roman", "cp850")
+SINGLE = ("koi8-r", "cp1251", "cp866", "cp1252", "mac-roman", "cp850", "cp1250")
+LATIN = ("cp1252", "mac-roman", "cp850", "cp1250")
 OPENING, CLOSING = "“„\"«「『‘'‹（(<《〈【`", "”“\"»」』’'›）)>》〉】`"
-_QUOTED = re.compile(f"[{re.escape(OPENING)}][   ]?([^{re.escape(OPENING + CLOSING)}\n]{{1,16}}?)[   ]?[{re.escape(CLOSING)}]")
+_QUOTED = re.compile(f"[{re.escape(OPENING)}][   ]?([^{re.escape(OPENING + CLOSING)}\n]{{1,{QUOTE}}}?)[   ]?[{re.escape(CLOSING)}]")
 _BEYOND_ASCII = re.compile("[^\x00-\x7f]+")
 _CACHE: dict = {}
 
 
+def _kept(key: tuple, make):
+    if key not in _CACHE:
+        _CACHE[key] = make()
+    return _CACHE[key]
+
+
 def _inverse(page: str) -> dict[str, int]:
     """Character -> byte of a single-byte page; bytes that the page leaves undefined read as C1 controls."""
-    key = ("inverse", page)
-    if key not in _CACHE:
+    def make() -> dict[str, int]:
         table = {}
         for b in range(256):
             try:
@@ -58,424 +70,571 @@ def _inverse(page: str) -> dict[str, int]:
                 pass
         for b in range(128, 256):
             table.setdefault(chr(b), b)
-        _CACHE[key] = table
-    return _CACHE[key]
+        return table
+
+    return _kept(("inverse", page), make)
 
 
 def _utf8_units(page: str) -> re.Pattern:
-    """UTF-8 sequences of two to four bytes as a single-byte page shows them."""
-    key = ("units", page)
-    if key not in _CACHE:
+    """One UTF-8 sequence of two to four bytes as a single-byte page shows it."""
+    def make() -> re.Pattern:
         table = _inverse(page)
         group = lambda low, high: "[" + "".join(re.escape(c) for c, b in table.items() if low <= b <= high) + "]"
         rest = group(0x80, 0xBF)
-        _CACHE[key] = re.compile(f"(?:{group(0xC2, 0xDF)}{rest}|{group(0xE0, 0xEF)}{rest}{{2}}|{group(0xF0, 0xF4)}{rest}{{3}})+")
-    return _CACHE[key]
+        return re.compile(f"{group(0xC2, 0xDF)}{rest}|{group(0xE0, 0xEF)}{rest}{{2}}|{group(0xF0, 0xF4)}{rest}{{3}}")
+
+    return _kept(("units", page), make)
 
 
 def _high_runs(page: str) -> re.Pattern:
     """Runs of characters of a single-byte page that start and end with a high one."""
-    key = ("runs", page)
-    if key not in _CACHE:
-        table = _inverse(page)
-        high = "".join(re.escape(c) for c, b in table.items() if b >= 128)
-        _CACHE[key] = re.compile(f"[{high}](?:[{high}\x20-\x7e]*[{high}\x40-\x7e])?")
-    return _CACHE[key]
+    def make() -> re.Pattern:
+        high = "".join(re.escape(c) for c, b in _inverse(page).items() if b >= 128)
+        return re.compile(f"[{high}](?:[{high}\x20-\x7e]*[{high}\x40-\x7e])?")
+
+    return _kept(("runs", page), make)
+
+
+def _swap(shown: str, written: str) -> dict[int, str]:
+    """What each high character of one single-byte page is in another."""
+    def make() -> dict[int, str]:
+        out = {}
+        for c, b in _inverse(shown).items():
+            if b >= 128:
+                try:
+                    out[ord(c)] = bytes([b]).decode(written)
+                except UnicodeDecodeError:
+                    pass
+        return out
+
+    return _kept(("swap", shown, written), make)
 
 
 def _to_bytes(text: str, page: str) -> bytes | None:
-    if page in MULTI:
-        try:
-            return text.encode(page)
-        except UnicodeEncodeError:
-            return None
-    key = ("map", page)
-    if key not in _CACHE:
-        _CACHE[key] = {ord(c): b for c, b in _inverse(page).items()}
     try:
-        return codecs.charmap_encode(text, "strict", _CACHE[key])[0]
+        if page in MULTI:
+            return text.encode(page)
+        return codecs.charmap_encode(text, "strict", _kept(("map", page), lambda: {ord(c): b for c, b in _inverse(page).items()}))[0]
     except UnicodeEncodeError:
         return None
 
 
-def read(line: str, shown: str, written: str) -> str | None:
-    """The line as it was written, if `shown` is how it was read; None if it can't have been."""
-    if written == "utf-8" and shown not in MULTI:
-        def fix(m: re.Match) -> str:
-            try:
-                return _to_bytes(m[0], shown).decode("utf-8")
-            except UnicodeDecodeError:
-                return m[0]
-
-        out = _utf8_units(shown).sub(fix, line)
-        return out if out != line else None
-    changed = False
-
-    def decode(m: re.Match) -> str:
-        nonlocal changed
+def _step(line: str, shown: str, written: str, aligned: bool) -> list[tuple[str, str]] | None:
+    """The line in pieces (as shown, as written) if `shown` is how it was read, None if it can't have been. Not aligned: runs are pieces."""
+    if written in SINGLE and shown not in MULTI:
+        table = _swap(shown, written)
+        return [(c, table.get(ord(c), c)) for c in line] if aligned else [(line, line.translate(table))]
+    pieces: list[tuple[str, str]] = []
+    end, changed = 0, False
+    for m in (_utf8_units(shown) if written == "utf-8" and shown not in MULTI else _BEYOND_ASCII if shown in MULTI else _high_runs(shown)).finditer(line):
         raw = _to_bytes(m[0], shown)
         if raw is None or len(raw) < 2:
-            return m[0]
+            continue
         out = raw.decode(written, "replace")
-        if out.count("\ufffd") * 12 > len(out) + 6:
-            return m[0]
-        changed = changed or out != m[0]
-        return out
+        if (out.count("�") * 12 > len(out) + 6) if written != "utf-8" or shown in MULTI else "�" in out:
+            continue
+        pieces.append((line[end : m.start()], line[end : m.start()]))
+        pieces += _align(m[0], raw, shown, written) if aligned else [(m[0], out)]
+        end, changed = m.end(), changed or out != m[0]
+    if not changed:
+        return None
+    return [*pieces, (line[end:], line[end:])]
+
+
+def _align(text: str, raw: bytes, shown: str, written: str) -> list[tuple[str, str]]:
+    """Pieces of one run, as short as the bytes of both codes allow."""
+    upto, at = {0: 0}, 0
+    for k, c in enumerate(text):
+        at += len(c.encode(shown)) if shown in MULTI else 1
+        upto[at] = k + 1
+    decoder = codecs.getincrementaldecoder(written)("replace")
+    pieces, begin, out = [], 0, ""
+    for k in range(len(raw)):
+        out += decoder.decode(raw[k : k + 1], k == len(raw) - 1)
+        if out and k + 1 in upto and not decoder.getstate()[0]:
+            pieces.append((text[begin : upto[k + 1]], out))
+            begin, out = upto[k + 1], ""
+    if begin < len(text) or out:
+        pieces.append((text[begin:], out))
+    return pieces
 
-    out = (_BEYOND_ASCII if shown in MULTI else _high_runs(shown)).sub(decode, line)
-    return out if changed else None
 
+def read(line: str, shown: str, written: str) -> str | None:
+    """The line as it was written, if `shown` is how it was read; None if it can't have been."""
+    pieces = _step(line, shown, written, False)
+    out = None if pieces is None else "".join(b for _, b in pieces)
+    return None if out == line else out
 
-def _possible(line: str, rare: float) -> Iterator[tuple[str, str]]:
-    """The ciphers worth a try: UTF-8 in a single-byte reading wherever its sequences stand; others only in lines that are
-    mostly beyond ASCII, for the pages that hold these characters, or, from one multi-byte code to another, where pairs are rare."""
-    high = _BEYOND_ASCII.findall(line)
-    n = sum(map(len, high))
-    signs = set("".join(high))
-    dense = n * 10 >= 3 * (len(line) - line.count(" "))
-    for shown in READ_AS:
-        if _utf8_units(shown).search(line):
-            yield shown, "utf-8"
-        if dense and rare >= DENSE and len(signs & _inverse(shown).keys()) * 10 >= 8 * len(signs):
-            yield from ((shown, w) for w in WRITTEN_IN[1:] if w != shown)
-    if dense and rare >= DENSE:
-        yield from ((s, w) for s in MULTI for w in ("utf-8", *MULTI) if s != w)
+
+def apply(line: str, cipher: str) -> str:
+    """The line under a cipher: one or more 'shown>written', the outermost first."""
+    for step in cipher.split("+"):
+        line = read(line, *step.split(">")) or line
+    return line
+
+
+def symbols(line: str, cipher: str) -> list[tuple[str, str]]:
+    """The line under a cipher in pieces (symbol, letters); what doesn't change is a piece as it is."""
+    pieces = [(line, line)]
+    for step in cipher.split("+"):
+        new = _step("".join(b for _, b in pieces), *step.split(">"), True)
+        if new is None:
+            continue
+        merged, at, over = [], 0, 0  # over: how far the pieces before reach beyond the new ones
+        before = iter([(c, c) for c in line] if len(pieces) == 1 else pieces)
+        for a, b in new:
+            need, taken = len(a) - over, ""
+            while need > 0:
+                x, y = next(before)
+                taken, need = taken + x, need - len(y)
+            over = -need
+            if not taken and merged:
+                merged[-1] = (merged[-1][0], merged[-1][1] + b)
+            else:
+                merged.append((taken, b))
+        pieces = merged
+    return pieces
 
 
 class Bigrams:
     """Log-probabilities of a lower-case character after another, in a table of hashed pairs."""
 
     def __init__(self, counts: np.ndarray, singles: np.ndarray):
-        self.pair, self.single = counts.astype(np.float32), singles.astype(np.float32)
-        self.share = (self.single + np.float32(0.02)) / np.float32(singles.sum() + 100)
+        self.pair, self.single = np.maximum(counts, 0).astype(np.float32), np.maximum(singles, 0).astype(np.float32)
+        self.all = np.float32(max(float(self.single.sum()), 1.0))
+        self.share = (self.single + np.float32(0.02)) / (self.all + np.float32(100))
 
     @staticmethod
     def slots(cps: np.ndarray) -> np.ndarray:
         return (tc.mix((cps[:-1].astype(np.uint64) << np.uint64(21)) | cps[1:]) >> np.uint64(64 - BITS)).astype(np.int64)
 
     @classmethod
-    def fit(cls, texts: list[str]) -> Bigrams:
-        counts, singles = np.zeros(1 << BITS, np.int64), np.zeros(1 << 16, np.int64)
+    def count(cls, texts: list[str], counts: np.ndarray, singles: np.ndarray) -> None:
+        """Adds the pairs of the texts' lines to the tables; a line that some texts of a chunk have in common counts once."""
         for a, b in tc.chunks(texts):
-            cps = cls.fold(tc.codes("\n".join(texts[a:b]) + "\n"))
+            lines = dict.fromkeys(x for t in texts[a:b] for x in t.split("\n"))
+            cps = cls.fold(tc.codes("\n".join(["", *lines, ""])))
             counts += np.bincount(cls.slots(cps), minlength=1 << BITS)
             singles += np.bincount(cps & 0xFFFF, minlength=1 << 16)
-        return cls(counts, singles)
 
     @staticmethod
     def fold(cps: np.ndarray) -> np.ndarray:
         """Lower case, digits alike, and all kinds of blank: they say nothing of the language."""
-        if "fold" not in _CACHE:
+        def make() -> np.ndarray:
             table = np.fromiter((ord(x) if len(x := chr(c).lower()) == 1 else c for c in range(0x110000)), np.uint32, 0x110000)
             table[48:58] = 48
             table[(tc.class_table() == tc.SPACE) & (table != 10)] = 32
-            _CACHE["fold"] = table
-        return _CACHE["fold"][cps]
+            return table
 
-    def scores(self, text: str) -> np.ndarray:
-        cps = self.fold(tc.codes("\n" + text + "\n"))
-        before, after = cps[:-1] & 0xFFFF, cps[1:] & 0xFFFF
-        return np.log((self.pair[self.slots(cps)] + BACK_OFF * self.share[after]) / (self.single[before] + BACK_OFF))
+        return _kept(("fold",), make)[cps]
+
+    def between(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Score of each folded character `after` following `before`, of arrays that fit together."""
+        slot = (tc.mix((before.astype(np.uint64) << np.uint64(21)) | after.astype(np.uint64)) >> np.uint64(64 - BITS)).astype(np.int64)
+        own = self.share[after & 0xFFFF]
+        return np.log((self.pair[slot] + BACK_OFF * own) / (self.single[before & 0xFFFF] + BACK_OFF) * own**FREQUENCY)
 
     def total(self, text: str) -> float:
-        return float(self.scores(text).sum())
-
-
-def _odd(c: np.ndarray) -> np.ndarray:
-    """Characters that no clean text holds: replacement characters, C1 controls, private use."""
-    return (c == 0xFFFD) | ((c >= 0x80) & (c < 0xA0) & (c != 0x85)) | ((c >= 0xE000) & (c < 0xF900))
-
-
-def marks(cps: np.ndarray, model: Bigrams) -> np.ndarray:
-    """For each character but the last whether it is odd, or a pair that the model hasn't seen, with a character beyond ASCII, starts there."""
-    high = cps > 127
-    seldom = high & (model.single[cps & 0xFFFF] < 3)
-    return ((model.pair[model.slots(cps)] < 1) & (high[1:] | high[:-1])) | seldom[:-1] | _odd(cps[:-1])
-
-
-def unlikely(cps: np.ndarray, model: Bigrams) -> np.ndarray:
-    """For each line of the folded characters, which start and end with a line end, whether it is mostly beyond ASCII and its pairs are seldom ones on average."""
-    breaks = np.flatnonzero(cps == 10)
-    high = cps > 127
-    at = np.flatnonzero(high[1:] | high[:-1])
-    before, after = cps[at] & 0xFFFF, cps[at + 1] & 0xFFFF
-    scores = np.zeros(len(cps))
-    scores[at] = np.log((model.pair[model.slots(cps)[at]] + BACK_OFF * model.share[after]) / (model.single[before] + BACK_OFF))
-    pairs = np.zeros(len(cps), np.int64)
-    pairs[at] = 1
-    total = lambda x: np.add.reduceat(x, breaks[:-1]) if len(breaks) > 1 else x[:0]
-    n = total(pairs)
-    dense = total(high.astype(np.int64)) * 10 >= 3 * total(((cps != 32) & (cps != 10)).astype(np.int64))
-    return dense & (n >= FEW) & (total(scores) < UNLIKELY * n)
-
-
-def suspicious(texts: list[str], model: Bigrams) -> np.ndarray:
-    """For each text whether it holds an odd character, two marks in a row, a mark between two letters or signs of an alphabet,
-    both beyond ASCII, or an unlikely line."""
-    found = np.zeros(len(texts), bool)
-    for a, b in tc.chunks(texts):
-        whole, starts, ends = tc.joined(texts[a:b])
-        cps = model.fold(tc.codes(whole))
-        mark = np.append(marks(cps, model), False)
-        mark[:-1] &= mark[1:] | _odd(cps[:-1]) | ((cps[:-1] > 127) & (cps[:-1] < 0x590) & (cps[1:] > 127))
-        sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(mark)])
-        found[a:b] = sums[ends] > sums[starts]
-        lines = np.flatnonzero(cps == 10)
-        seldom = unlikely(np.concatenate([np.full(1, 10, cps.dtype), cps]), model)
-        found[a + np.unique(np.searchsorted(ends, lines[seldom]))] = True
-    return found
+        cps = self.fold(tc.codes("\n" + text + "\n"))
+        return float(self.between(cps[:-1], cps[1:]).sum())
+
+
+def _lost(c: np.ndarray) -> np.ndarray:
+    """Characters that no clean text holds: replacement characters and C1 controls."""
+    return (c == 0xFFFD) | ((c >= 0x80) & (c < 0xA0) & (c != 0x85))
 
 
 def _unquoted(line: str) -> str:
     """The line with what stands between quotation marks blanked, if that is beyond ASCII."""
-    return _QUOTED.sub(lambda m: m[0][0] + " " + m[0][-1] if re.search("[^\x00-\x7f]", m[1]) else m[0], line)
+    return _QUOTED.sub(lambda m: m[0][0] + " " + m[0][-1] if not m[1].isascii() else m[0], line)
+
+
+def doubtful(lines: list[str], model: Bigrams) -> list[tuple[int, bool]]:
+    """(number, seldom) of the lines that could be damaged. Seldom: by their pairs; the others hold UTF-8 sequences or lost characters."""
+    found: list[tuple[int, bool]] = []
+    for a, b in tc.chunks(lines):
+        whole = "\n" + "\n".join(lines[a:b]) + "\n"
+        shown = tc.codes(whole)
+        cps = model.fold(shown)
+        high = cps > 127
+        breaks = np.flatnonzero(shown == 10)
+        of_line = lambda x: np.add.reduceat(x, breaks[:-1])
+        pair = high[1:] | high[:-1]
+        pairs = np.maximum(of_line(np.append(pair, False).astype(np.int64)), 1)
+        at = np.flatnonzero(pair)
+        after = cps[at + 1] & 0xFFFF
+        count = model.pair[Bigrams.slots(cps)[at]]
+        scores = np.zeros((2, len(cps)))
+        scores[0, at] = np.log((count + np.float32(0.5)) / model.all)
+        scores[1, at] = np.log((count + BACK_OFF * model.share[after]) / (model.single[cps[at] & 0xFFFF] + BACK_OFF)) - np.log(model.share[after])
+        joint, bond = of_line(scores[0]) / pairs, of_line(scores[1]) / pairs
+        filled = of_line(((cps != 32) & (cps != 10)).astype(np.int64))
+        dense = of_line(high.astype(np.int64)) * 10 >= 3 * filled
+        western = of_line((high & ((cps < 0x250) | ((cps >= 0x2500) & (cps < 0x2600)))).astype(np.int64)) * 10 >= 3 * filled
+        seldom = np.where(dense, western | (joint < RARE) | (bond < LOOSE), joint < SPARSE)
+        other = np.zeros(b - a, bool)
+        other[np.searchsorted(breaks, np.flatnonzero(_lost(shown))) - 1] = True
+        for page in READ_AS:
+            other[np.searchsorted(breaks, np.fromiter((m.start() for m in _utf8_units(page).finditer(whole)), np.int64)) - 1] = True
+        found += [(a + k, bool(seldom[k])) for k in np.flatnonzero(seldom | other).tolist()]
+    return found
 
 
-def readings(line: str, model: Bigrams, rare: float, at: int = 0) -> list[tuple[str, float]]:
-    """(cipher, gain in log-likelihood) of each reading that fits a line better. at: where the first doubtful sign stands; the
-    ciphers of a long line are sought around it, then applied to the whole line."""
-    if len(line) > PROBE:
-        found = _search(line[max(0, at - PROBE // 4) : at + PROBE * 3 // 4], model, rare)
-        if found:
-            base = model.total(line)
-            whole = [(c, model.total(apply(line, c)) - base) for c, _ in found[:4]]
-            return sorted([(c, g) for c, g in whole if g > LEAST_GAIN], key=lambda x: -x[1])
-    return _search(line, model, rare)
+def _possible(line: str, seldom: bool) -> Iterator[tuple[str, str]]:
+    """The ciphers worth a try: UTF-8 in a single-byte reading wherever its sequences stand; others in lines of seldom pairs, for the
+    pages that hold these characters."""
+    high = "".join(_BEYOND_ASCII.findall(line))
+    signs = set(high)
+    dense = len(high) * 10 >= 3 * (len(line) - line.count(" "))
+    for shown in READ_AS:
+        if _utf8_units(shown).search(line):
+            yield shown, "utf-8"
+        if seldom and len(signs & _inverse(shown).keys()) * 10 >= 8 * len(signs):
+            yield from ((shown, w) for w in ((*MULTI, *SINGLE) if dense else LATIN) if w != shown)
+    if seldom and dense:
+        yield from ((s, w) for s in MULTI for w in ("utf-8", *MULTI) if s != w)
 
 
-def _search(line: str, model: Bigrams, rare: float) -> list[tuple[str, float]]:
-    """All readings of a line, best first; a cipher is one or more 'shown>written'."""
-    base = model.total(line)
-    out: dict[str, float] = {}
+def readings(line: str, model: Bigrams, seldom: bool) -> dict[str, float]:
+    """Gain in log-likelihood of each cipher that fits a line better. A reading in which UTF-8 sequences still stand is read again."""
+    base, out, seen = model.total(line), {}, {line}
     front = [("", line, 0.0)]
     while front:
-        after = []
-        for name, text, gain in front:
-            for shown, written in _possible(text, rare):
-                new = read(text, shown, written)
-                if new is None or new == text:
-                    continue
-                better = model.total(new) - base
-                changed = sum(c > "\x7f" for c in text) if written != "utf-8" else 0
-                if better - gain > max(LEAST_GAIN, 0.1 * gain, 1.5 * changed):
-                    after.append((f"{name}+{shown}>{written}".lstrip("+"), new, better))
-        front = sorted(after, key=lambda x: -x[2])[:3] if len(out) < 6 else []
-        for name, _, gain in front:
-            out[name] = gain
-    return sorted(out.items(), key=lambda x: -x[1])
+        name, text, gain = front.pop(0)
+        for shown, written in _possible(text, seldom) if not name else ((p, "utf-8") for p in (*READ_AS, *MULTI)):
+            new = read(text, shown, written)
+            if new is None or new in seen:
+                continue
+            seen.add(new)
+            better = model.total(new) - base
+            if better > gain:
+                cipher = f"{name}+{shown}>{written}".lstrip("+")
+                out[cipher] = better
+                if written == "utf-8" or any(_utf8_units(p).search(new) for p in READ_AS[:2]):
+                    front.append((cipher, new, better))
+    best = max(out.values(), default=0.0)
+    return {c: g for c, g in out.items() if g >= best / 2 - FAR}  # one so far behind the best has no share in what is expected
+
+
+def class_of(cipher: str) -> str:
+    """Single-byte ciphers of one shown page are one class, whose letters are learned; others are classes of their own."""
+    shown, _, written = cipher.partition(">")
+    return f"{shown}>?" if written in SINGLE and shown not in MULTI else cipher
+
+
+class State:
+    """What EM has learned of one source: shares of its classes of ciphers, and letters of its single-byte symbols."""
+
+    def __init__(self, priors: list[dict] | None, letters: list[dict] | None, everywhere: dict[str, float]):
+        self.everywhere = everywhere
+        self.priors = {x["cipher"]: x["share"] for x in priors or []}
+        self.table: dict[tuple[str, str], dict[str, float]] = defaultdict(dict)
+        for x in letters or []:
+            self.table[x["cipher"], x["symbol"]][x["letter"]] = x["n"]
+        self.known: dict[tuple[str, str], list[tuple[str, float]]] = {}
+        self.pages: dict[str, dict[str, float]] = {}
+
+    def of_pages(self, cipher: str) -> dict[str, float]:
+        """How far each page explains what a class's symbols were learned to be; a tenth is spread over all pages."""
+        if cipher not in self.pages:
+            shown, fits = cipher[:-2], dict.fromkeys(SINGLE, 0.0)
+            whole = 0.0
+            for (c, symbol), seen in self.table.items():
+                if c == cipher:
+                    whole += sum(seen.values())
+                    for w in SINGLE:
+                        fits[w] += seen.get(_swap(shown, w).get(ord(symbol)), 0.0)
+            sharp = {w: (x / whole) ** SHARP if whole else 1.0 for w, x in fits.items() if w != shown}
+            self.pages[cipher] = {w: 0.9 * x / max(sum(sharp.values()), 1e-12) + 0.1 / len(sharp) for w, x in sharp.items()}
+        return self.pages[cipher]
+
+    def odds(self, cipher: str) -> float:
+        """Log of how much more often lines are under this class of ciphers than as shown."""
+        share = self.priors.get(cipher, 0.0) + CLEAN * self.everywhere.get(cipher, 0.0)
+        return float(np.log(max(share, 1e-12) / (self.priors.get("", 0.0) + CLEAN)))
+
+    def letters(self, cipher: str, symbol: str) -> list[tuple[str, float]]:
+        """(letter, log-probability) of a symbol: what its byte is in each page, by what the source has shown so far."""
+        key = (cipher, symbol)
+        if key not in self.known:
+            shown, pages = cipher[:-2], Counter()
+            for w, weight in self.of_pages(cipher).items():
+                if x := _swap(shown, w).get(ord(symbol)):
+                    pages[x] += weight
+            n, seen = sum(pages.values()), self.table.get(key, {})
+            all_ = TRUST + sum(seen.values())
+            share = {x: (TRUST * pages[x] / max(n, 1e-12) + seen.get(x, 0.0)) / all_ for x in {*pages, *seen}}
+            self.known[key] = [(x, float(np.log(p))) for x, p in share.items() if p >= KEEP] or [(symbol, 0.0)]
+        return self.known[key]
+
+
+def forward_backward(line: str, cipher: str, state: State, model: Bigrams) -> tuple[float, list[tuple[str, list[tuple[str, float]]]]]:
+    """Log-likelihood of a line under a single-byte class, and for each of its symbols the probabilities of its letters."""
+    inverse = _inverse(cipher[:-2])
+    options = [[("\n", 0.0)], *(state.letters(cipher, c) if inverse.get(c, 0) >= 128 else [(c, 0.0)] for c in line), [("\n", 0.0)]]
+    signs = [model.fold(tc.codes("".join(x for x, _ in o))) for o in options]
+    given = [np.array([p for _, p in o]) for o in options]
+    scores = model.between(np.concatenate([np.repeat(a, len(b)) for a, b in zip(signs, signs[1:])]), np.concatenate([np.tile(b, len(a)) for a, b in zip(signs, signs[1:])]))
+    ends = np.cumsum([len(a) * len(b) for a, b in zip(signs, signs[1:])])
+    steps = [x.reshape(len(a), len(b)) + p for x, a, b, p in zip(np.split(scores, ends[:-1]), signs, signs[1:], given[1:])]
+    alpha, beta = [np.zeros(1)], [np.zeros(1)]
+    for s in steps:
+        alpha.append(np.logaddexp.reduce(alpha[-1][:, None] + s, axis=0))
+    for s in reversed(steps):
+        beta.append(np.logaddexp.reduce(s + beta[-1][None, :], axis=1))
+    whole = float(alpha[-1][0])
+    return whole, [(c, [(x, float(np.exp(a + b - whole))) for (x, _), a, b in zip(o, al, be)]) for c, o, al, be in zip(line, options[1:], alpha[1:], beta[-2::-1]) if len(o) > 1 or inverse.get(c, 0) >= 128]
+
+
+def weigh(line: str, ciphers: list[str], state: State, model: Bigrams, learned: bool) -> tuple[list[tuple[str, str, float]], dict[str, list]]:
+    """(class, cipher, log of its odds against the line as shown) of a line's readings, and letters of single-byte classes. Not learned: single-byte ciphers as their pages are."""
+    base, out, letters = model.total(line), [], {}
+    for c in ciphers:
+        kind = class_of(c)
+        if kind != c and learned:
+            if kind not in letters:
+                whole, letters[kind] = forward_backward(line, kind, state, model)
+                out.append((kind, kind, whole - base + state.odds(kind)))
+        else:
+            out.append((kind, c, model.total(apply(line, c)) - base + state.odds(kind)))
+    return out, letters
+
+
+def _shares(rows: list[tuple[str, str, float]]) -> np.ndarray:
+    """Probabilities of the readings; what they lack to one is that of the line as shown."""
+    odds = np.minimum(np.array([x for *_, x in rows]), 600.0)
+    top = max(float(odds.max()), 0.0) if len(odds) else 0.0
+    e = np.exp(odds - top)
+    return e / (e.sum() + np.exp(-top))
 
 
-def apply(line: str, cipher: str) -> str:
-    for step in cipher.split("+"):
-        line = read(line, *step.split(">")) or line
-    return line
+def _fields(df: DataFrame, id_col: str, url_col: str, fields: tuple[str, ...]) -> DataFrame:
+    parts = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])
+    return df.select(F.col(id_col).alias("_id"), F.coalesce(site_of(F.col(url_col)), F.lit("")).alias("source"), F.explode(parts).alias("p")).select("_id", "source", "p.field", "p.text").filter("text <> ''")
 
 
-def _again(line: str, model: Bigrams, rows: list[tuple[int, str, float]]) -> list[tuple[str, float]]:
-    """The ciphers of a field's earlier line, if the best of them clears this line of all doubt."""
-    last = [c for n, c, _ in rows if n == rows[-1][0] and c]
-    if not last:
-        return []
-    read_ = apply(line, last[0])
-    if read_ == line or marks(model.fold(tc.codes("\n" + read_ + "\n")), model).any():
-        return []
-    base = model.total(line)
-    gains = [(c, model.total(apply(line, c)) - base) for c in last]
-    return [(c, g) for c, g in gains if g > LEAST_GAIN] if gains[0][1] > LEAST_GAIN else []
-
-
-def diagnose(text: str, model: Bigrams) -> list[tuple[int, str, float]]:
-    """(line number, cipher, gain) of the damaged lines; the cipher is '' where only replacement characters tell."""
-    rows = []
-    for n, line in enumerate(text.split("\n")):
-        if line.isascii():
-            continue
-        plain = _unquoted(line)
-        if plain.isascii():
-            continue
-        cps = model.fold(tc.codes("\n" + plain + "\n"))
-        mark, high = marks(cps, model), cps > 127
-        seldom = unlikely(cps, model).any()
-        if not (mark.any() or seldom):
-            continue
-        rare = 1.0 if seldom else mark.sum() / max((high[1:] | high[:-1]).sum(), 1)
-        known = _again(plain, model, rows)
-        found = known or readings(plain, model, rare, max(int(mark.argmax()) - 1, 0))
-        rows += [(n, c, g) for c, g in found]
-        if not found and _odd(cps).any():
-            rows.append((n, "", 0.0))
-    return rows
-
-
-def _doubtful(text: str) -> bool:
-    """Before there is a model: whether UTF-8 in a single-byte reading, lines that are mostly Western signs or odd characters stand in a text."""
-    if _odd(tc.codes(text)).any() or any(_utf8_units(page).search(text) for page in READ_AS if page not in ("cp1251", "koi8-r")):
-        return True
-    for line in text.split("\n"):
-        for page in ("cp1251", "koi8-r"):  # clean Cyrillic has single sequences too, such as an IO or a quotation mark after a letter
-            inside = sum(map(len, _utf8_units(page).findall(line)))
-            if inside > 3 and inside * 10 >= 3 * sum(c > "\x7f" for c in line):
-                return True
-        western = sum("\x7f" < c < "\u0250" for c in line)
-        if western > 3 and western * 10 >= 3 * (len(line) - line.count(" ")):
-            return True
-    return False
-
-
-def _dense(line: str) -> bool:
-    return sum(c > "\x7f" for c in line) * 10 >= 3 * (len(line) - line.count(" "))
-
-
-def _line_totals(text: str, model: Bigrams) -> np.ndarray:
-    cps = tc.codes("\n" + text + "\n")
-    return np.add.reduceat(model.scores(text), np.flatnonzero(cps == 10)[:-1])
-
-
-def _likeliest_as_shown(texts: list[str]) -> list[str]:
-    """The texts of which no line that is mostly beyond ASCII is likelier in another reading, by the model of these texts. Each
-    round's model lacks what the round before found, so that a swap which many texts have in common loses its support."""
-    model, rivals = Bigrams.fit(texts), []
-    for k, t in enumerate(texts):
-        shown = "\n".join(x[:PROBE] for x in t.split("\n") if not x.isascii() and _dense(x))
-        if not shown:
-            continue
-        base, least = _line_totals(shown, model), HOPELESS * np.fromiter((sum(c > "\x7f" for c in x) for x in shown.split("\n")), float)
-        for page, written in _possible(shown, 1.0):
-            new = read(shown, page, written)
-            if new is None or new == shown or new.count("\n") != len(base) - 1:
-                continue
-            close = np.flatnonzero((gain := _line_totals(new, model) - base) > least)
-            a, b = shown.split("\n"), new.split("\n")
-            rivals += [(k, a[n], b[n], gain[n]) for n in close.tolist() if a[n] != b[n]]
-    gone = {k for k, *_, g in rivals if g > LEAST_GAIN}
-    for _ in range(FIT_ROUNDS):
-        if not gone or len(gone) == len(texts):
-            break
-        model = Bigrams.fit([t for k, t in enumerate(texts) if k not in gone])
-        gains = _line_totals("\n".join(b for _, _, b, _ in rivals), model) - _line_totals("\n".join(a for _, a, _, _ in rivals), model)
-        after = {k for (k, *_), g in zip(rivals, gains.tolist()) if g > LEAST_GAIN}
-        if after == gone:
-            break
-        gone = after
-    return [t for k, t in enumerate(texts) if k not in gone]
-
-
-def fit(texts: list[str]) -> Bigrams:
-    """The model of clean text: fitted without doubtful fields and those likelier in another reading, then without those that
-    the other half's model finds damaged (a field's own signs would speak for it)."""
-    texts = [t for t in texts if not _doubtful(t)] or texts
-    texts = _likeliest_as_shown(texts) or texts
-    clean: list[str] = []
-    for k in (0, 1):
-        model, judged = Bigrams.fit(texts[1 - k :: 2]), texts[k::2]
-        clean += [t for t, d in zip(judged, suspicious(judged, model)) if not (d and diagnose(t, model))]
-    return Bigrams.fit(clean or texts)
+def _table_rows(pair: np.ndarray, single: np.ndarray) -> pa.RecordBatch:
+    a, b = np.flatnonzero(pair), np.flatnonzero(single)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, b + (1 << BITS)]), pa.int64()), pa.array(np.concatenate([pair[a], single[b]]), pa.float64())], ["slot", "n"])
 
 
-def _fields(df: DataFrame, id_col: str, url_col: str, fields: tuple[str, ...]) -> DataFrame:
-    parts = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])
-    rows = df.select(F.col(id_col).alias("_id"), F.coalesce(site_of(F.col(url_col)), F.lit("")).alias("source"), F.explode(parts).alias("p")).select("_id", "source", "p.field", "p.text")
-    return rows.filter(F.col("text").rlike("[^\\x00-\\x7f]"))
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pair, single = np.zeros(1 << BITS), np.zeros(1 << 16)
+    for batch in batches:
+        Bigrams.count(batch.column(0).to_pylist(), pair, single)
+    yield _table_rows(pair, single)
+
+
+def _gathered(rows: DataFrame) -> np.ndarray:
+    """Sums of (slot, n): a table of fixed size, whatever the corpus."""
+    got = rows.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((1 << BITS) + (1 << 16))
+    out[got["slot"].to_numpy()] = got["n"].to_numpy()
+    return out
+
 
+def count_bigrams(texts: DataFrame) -> np.ndarray:
+    """Counts of pairs, then of single characters, over all texts of a column."""
+    return _gathered(texts.mapInArrow(_count, "slot bigint, n double"))
+
+
+def _model(counts: np.ndarray) -> Bigrams:
+    return Bigrams(counts[: 1 << BITS], counts[1 << BITS :])
+
+
+def _candidates(shared):
+    names = ["_id", "source", "field", "line_no", "text", "ciphers", "lost", "n"]
 
-def _diagnose(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(shared.value)
+        known: dict[str, tuple | None] = {}  # what became of the lines seen before; emptied where it grows large
         for batch in batches:
-            texts = batch.column(3).to_pylist()
-            at, line, cipher, gain = [], [], [], []
-            for k in np.flatnonzero(suspicious(texts, model.value)).tolist():
-                for n, c, g in diagnose(texts[k], model.value):
-                    at.append(k)
-                    line.append(n)
-                    cipher.append(c)
-                    gain.append(g)
-            at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(3)), pa.array(line, pa.int32()), pa.array(cipher, pa.string()), pa.array(gain, pa.float64())], ["_id", "source", "field", "line_no", "cipher", "gain"])
+            sources, texts = batch.column(1).to_pylist(), batch.column(3).to_pylist()
+            n = Counter()
+            lines = [(k, number, x) for k, t in enumerate(texts) for number, x in enumerate(t.split("\n")) if not x.isascii()]
+            for s, t in zip(sources, texts):
+                n[s] += t.count("\n") + 1
+            if len(known) > MOST_KNOWN:
+                known.clear()
+            new = list({x for *_, x in lines} - known.keys())
+            known.update(dict.fromkeys(new))
+            for k, seldom in doubtful(new, model):
+                plain = _unquoted(new[k])
+                if not plain.isascii():
+                    lost = bool(_lost(tc.codes(plain)).any())
+                    if (found := readings(plain, model, seldom or lost)) or lost:
+                        known[new[k]] = (plain, list(found), lost)
+            rows = [(k, number, *known[x]) for k, number, x in lines if known[x]]
+            at, number, plain, found, lost = zip(*rows) if rows else ((), (), (), (), ())
+            taken = [batch.column(c).take(pa.array(at, pa.int64())) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([*taken, pa.array(number, pa.int32()), pa.array(plain, pa.string()), pa.array(found, pa.list_(pa.string())), pa.array(lost, pa.bool_()), pa.nulls(len(at), pa.int64())], names)
+            none = lambda t: pa.nulls(len(n), t)
+            yield pa.RecordBatch.from_arrays([none(batch.column(0).type), pa.array(list(n), pa.string()), none(pa.string()), none(pa.int32()), none(pa.string()), none(pa.list_(pa.string())), none(pa.bool_()), pa.array(list(n.values()), pa.int64())], names)
 
     return run
 
 
-def _share(weight: Column, of_line: WindowSpec) -> Column:
-    return weight / F.sum(weight).over(of_line)
+def _move(shown: str, written: str, share: float, pair: np.ndarray, single: np.ndarray) -> None:
+    """Takes a line as shown out of the bigrams and puts it in as written, by its share."""
+    for text, sign in ((shown, -share), (written, share)):
+        cps = Bigrams.fold(tc.codes("\n" + text + "\n"))
+        np.add.at(pair, Bigrams.slots(cps), sign)
+        np.add.at(single, cps & 0xFFFF, sign)
 
 
-def damage(df: DataFrame, id_col: str = "scrape_id", url_col: str = "resolved_url", fields: tuple[str, ...] = ("title", "body"), fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(id, source, field, line_no, cipher): the damaged lines and the cipher that expectation-maximization decides for each."""
-    sample = bounded_sample(df.select(id_col, *fields), F.col(id_col), fit_rows)
-    model = df.sparkSession.sparkContext.broadcast(fit([t for f in fields for t in sample[f].tolist() if isinstance(t, str) and t]))
-    kind = df.schema[id_col].dataType.simpleString()
-    lines = cut(_fields(df, id_col, url_col, fields).mapInArrow(_diagnose(model), f"_id {kind}, source string, field string, line_no int, cipher string, gain double"))
-    same = ["_id", "source", "field", "line_no"]
-    of_line = Window.partitionBy(*same)
-    lines = lines.withColumn("share", _share(F.exp(F.col("gain") - F.max("gain").over(of_line)), of_line))
-    for _ in range(ROUNDS):
-        prior = lines.groupBy("source", "cipher").agg((F.sum("share") + 0.1).alias("prior"))
-        fits = F.exp(F.col("gain") - F.max("gain").over(of_line)) * F.col("prior")
-        lines = lines.drop("share", "prior").join(prior, ["source", "cipher"]).withColumn("share", _share(fits, of_line))
-    best = lines.withColumn("k", F.row_number().over(of_line.orderBy(F.desc("share"), F.desc("gain"), "cipher"))).filter("k = 1")
-    return best.select(F.col("_id").alias(id_col), "source", "field", "line_no", "cipher", "gain")
-
-
-def _texts_of(df: DataFrame, found: DataFrame, id_col: str, url_col: str, fields: tuple[str, ...]) -> DataFrame:
-    """The damaged fields: _id, source, field, text, and lines, an array of (line_no, cipher)."""
-    lines = found.groupBy(F.col(id_col).alias("_id"), "field").agg(F.collect_list(F.struct("line_no", "cipher")).alias("lines"))
-    return _fields(df, id_col, url_col, fields).join(lines, ["_id", "field"]).select("_id", "source", "field", "text", "lines")
+def _expect(shared, learned: bool, every: bool):
+    """E step: expected counts by source of classes (kind 0) and of letters of symbols (1), and what the bigrams lose and gain (2).
+    every: letters of all classes, not only of those whose letters are unknown."""
+    names = ["kind", "source", "cipher", "symbol", "letter", "slot", "n"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, everywhere = shared.value
+        model = _model(counts)
+        pair, single = np.zeros(1 << BITS), np.zeros(1 << 16)
+        for batch in batches:
+            sums: dict[tuple, float] = defaultdict(float)
+            for group in batch.to_pylist():
+                state, source = State(group["priors"], group["letters"], everywhere), group["source"]
+                for x in group["lines"]:
+                    rows, letters = weigh(x["text"], x["ciphers"], state, model, learned)
+                    for (kind, cipher, _), share in zip(rows, _shares(rows).tolist()):
+                        if share < KEEP:
+                            continue  # a repeated line counts once here: it can't vouch for itself
+                        sums[0, source, kind, None, None] += share
+                        if kind in letters:
+                            for symbol, of in letters[kind]:
+                                for letter, p in of:
+                                    sums[1, source, kind, symbol, letter] += share * p
+                            written = x["text"].translate({ord(s): max(of, key=lambda y: y[1])[0] for s, of in letters[kind]})
+                        else:
+                            if kind != cipher or every:
+                                for symbol, letter in symbols(x["text"], cipher):
+                                    if symbol != letter or kind != cipher and symbol > "\x7f":
+                                        sums[1, source, kind, symbol, letter] += share
+                            written = apply(x["text"], cipher)
+                        _move(x["text"], written, share, pair, single)
+            keys = list(zip(*sums)) or [[]] * 5
+            types = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([*(pa.array(list(k), t) for k, t in zip(keys, types)), pa.nulls(len(sums), pa.int64()), pa.array(list(sums.values()), pa.float64())], names)
+        table = _table_rows(pair, single)
+        none = [pa.nulls(table.num_rows, pa.string())] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(table.num_rows, 2), pa.int32()), *none, table.column(0), table.column(1)], names)
 
-def _single(cipher: str) -> bool:
-    """Whether each garbled character stands for one letter."""
-    return all(p in READ_AS for step in cipher.split("+") for p in step.split(">")) if cipher else False
+    return run
 
 
-def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        count: dict[tuple, int] = {}
-        for source, text, lines in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-            split = text.split("\n")
-            for x in lines:
-                if _single(x["cipher"]):
-                    for a, b in zip(split[x["line_no"]], apply(split[x["line_no"]], x["cipher"])):
-                        if a > "\x7f":
-                            key = (source, x["cipher"], a, b)
-                            count[key] = count.get(key, 0) + 1
-        columns = list(zip(*count)) or [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([*(pa.array(list(c), pa.string()) for c in columns), pa.array(list(count.values()), pa.int64())], ["source", "cipher", "symbol", "letter", "n"])
-
-
-def _repair(kind: str):
+def _decide(shared):
+    """The likeliest class of each line; rows for damaged lines only."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, everywhere = shared.value
+        model = _model(counts)
         for batch in batches:
-            texts = []
-            for text, lines in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                split = text.split("\n")
-                for x in lines:
-                    if x["cipher"] and not _single(x["cipher"]):
-                        split[x["line_no"]] = apply(split[x["line_no"]], x["cipher"])
-                texts.append("\n".join(split))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), batch.column(4)], ["_id", "field", "restored", "singles"])
+            out = []
+            for group in batch.to_pylist():
+                state = State(group["priors"], group["letters"], everywhere)
+                for x in group["lines"]:
+                    rows, _ = weigh(x["text"], x["ciphers"], state, model, True)
+                    kind, _, odds = max(rows, key=lambda y: y[2], default=("", "", 0.0))
+                    if odds >= LEAST_GAIN or x["lost"]:
+                        out.append((group["source"], x["key"], kind if odds >= LEAST_GAIN else "", odds))
+            columns = list(zip(*out)) or [[]] * 4
+            types = (pa.string(), pa.int64(), pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], ["source", "key", "cipher", "odds"])
 
     return run
 
 
-def restore(df: DataFrame, found: DataFrame, id_col: str = "scrape_id", url_col: str = "resolved_url", fields: tuple[str, ...] = ("title", "body")) -> DataFrame:
-    """(id, field, restored, complete): each damaged field with its lines read as decided; not complete where characters are lost."""
-    damaged = _texts_of(df, found, id_col, url_col, fields)
-    kind = df.schema[id_col].dataType.simpleString()
-    seen = damaged.mapInArrow(_observe, "source string, cipher string, symbol string, letter string, n bigint").groupBy("source", "cipher", "symbol", "letter").agg(F.sum("n").alias("n"))
-    best = seen.groupBy("source", "cipher", "symbol").agg(F.max_by("letter", F.struct("n", "letter")).alias("letter"))
-    # at most 128 symbols of a single-byte page
-    tables = best.groupBy("source", "cipher").agg(F.array_sort(F.collect_list(F.struct("symbol", "letter"))).alias("t")).select("source", "cipher", F.array_join("t.symbol", "").alias("symbols"), F.array_join("t.letter", "").alias("letters"))
-    first = F.get(F.filter("lines", lambda x: x["cipher"].rlike(_SINGLE)), F.lit(0))
-    singles = F.transform(F.filter("lines", lambda x: x["cipher"].rlike(_SINGLE)), lambda x: x["line_no"])
-    repaired = damaged.select("_id", "field", "text", "lines", singles.alias("singles")).mapInArrow(_repair(kind), f"_id {kind}, field string, restored string, singles array<int>")
-    chosen = damaged.select("_id", "field", "source", first["cipher"].alias("cipher"))
-    joined = repaired.join(chosen, ["_id", "field"]).join(tables, ["source", "cipher"], "left")
-    whole = F.array_join(F.transform(F.split("restored", "\n"), lambda x, k: F.when(F.array_contains("singles", k), F.call_function("translate", x, F.col("symbols"), F.col("letters"))).otherwise(x)), "\n")
-    text = F.when(F.col("symbols").isNull(), F.col("restored")).otherwise(whole)
-    return joined.select(F.col("_id").alias(id_col), "field", text.alias("restored")).withColumn("complete", ~F.col("restored").contains("\ufffd"))
+def _grouped(lines: DataFrame, by: list[str], row: list[str]) -> DataFrame:
+    """One row for at most about GROUP lines of one key: a source with a third of all lines is many rows."""
+    sizes = lines.groupBy(*by).agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    part = F.pmod(F.xxhash64(*row), "parts")
+    return lines.join(sizes, by).withColumn("part", part).groupBy(*by, "part").agg(F.collect_list(F.struct(*row)).alias("lines")).drop("part")
 
 
-_SINGLE = "^(?:(?:" + "|".join(READ_AS) + ")>(?:" + "|".join(READ_AS) + "))(?:[+](?:" + "|".join(READ_AS) + ")>(?:" + "|".join(READ_AS) + "))*$"
+def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each line under its class, by translate() with what the source's symbols were learned to be."""
+    for batch in batches:
+        out = []
+        for group in batch.to_pylist():
+            state = State(None, group["letters"], {})
+            tables: dict[str, dict] = defaultdict(dict)
+            for (cipher, symbol), seen in state.table.items():
+                tables[cipher][symbol] = max(seen.items(), key=lambda x: (x[1], x[0]))[0]
+            for x in group["lines"]:
+                line, cipher = x["line"], x["cipher"]
+                if cipher.endswith(">?"):
+                    inverse = _inverse(cipher[:-2])
+                    line = line.translate({ord(c): max(state.letters(cipher, c), key=lambda y: y[1])[0] for c in set(line) if inverse.get(c, 0) >= 128})
+                elif cipher:
+                    private, letters, coded = {}, {}, []
+                    for symbol, letter in symbols(line, cipher):
+                        if symbol != letter:
+                            sign = private.setdefault(symbol, chr(0xF0000 + len(private)))
+                            letters[ord(sign)] = tables[cipher].get(symbol, letter)
+                            symbol = sign
+                        coded.append(symbol)
+                    line = "".join(coded).translate(letters)
+                out.append((x["_id"], x["field"], x["line_no"], line))
+        id_type = batch.schema.field("lines").type.value_type.field("_id").type
+        columns = list(zip(*out)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (id_type, pa.string(), pa.int32(), pa.string()))], ["_id", "field", "line_no", "line"])
+
+
+_LETTERS = "array<struct<cipher:string,symbol:string,letter:string,n:double>>"
+
+
+def _learn(df: DataFrame, id_col: str, url_col: str, fields: tuple[str, ...], rounds: int, every: bool) -> tuple[DataFrame, DataFrame]:
+    """(decided, states): the damaged lines, and what each source's ciphers and symbols were learned to be."""
+    spark = df.sparkSession
+    kind = df.schema[id_col].dataType.simpleString()
+    texts = _fields(df, id_col, url_col, fields)
+    counts = count_bigrams(texts.select("text"))
+    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = lambda x: spark.sparkContext.broadcast(x)  # noqa: E731 - a table of fixed size and a number for each class of ciphers
+    found = cut(texts.filter(F.col("text").rlike("[^\\x00-\\x7f]")).mapInArrow(_candidates(share(counts)), f"_id {kind}, source string, field string, line_no int, text string, ciphers array<string>, lost boolean, n bigint"))
+    shown = found.filter("n is not null").groupBy("source").agg(F.sum("n").cast("double").alias("share")).select("source", F.lit("").alias("cipher"), "share")
+    lines = found.filter("n is null").withColumn("key", F.xxhash64("text"))
+    distinct = lines.groupBy("source", "key").agg(*(F.first(c).alias(c) for c in ("text", "ciphers", "lost")))
+    groups = cut(_grouped(distinct, ["source"], ["key", "text", "ciphers", "lost"]))
+    total = float(shown.agg(F.sum("share").alias("n")).first()["n"] or 1.0)
+    names = groups.select(F.explode("lines").alias("x")).select(F.explode("x.ciphers").alias("c")).distinct().collect()  # pairs of pages and their chains
+    classes = {class_of(r["c"]) for r in names}
+    everywhere = dict.fromkeys(classes, CIPHER / max(len(classes), 1))
+    states = shown.groupBy("source").agg(F.collect_list(F.struct("cipher", "share")).alias("priors")).withColumn("letters", F.lit(None).cast(_LETTERS))
+    for k in range(rounds):
+        e_step = _expect(share((counts, everywhere)), k > 0, every and k == rounds - 1)
+        rows = cut(groups.join(states, "source", "left").repartition(slots).mapInArrow(e_step, "kind int, source string, cipher string, symbol string, letter string, slot bigint, n double"))
+        counts = counts + _gathered(rows.filter("kind = 2").select("slot", "n"))
+        of_class = rows.filter("kind = 0").groupBy("source", "cipher").agg(F.sum("n").alias("share"))
+        everywhere = dict.fromkeys(classes, 0.01 / total) | {r["cipher"]: float(r["n"]) / total for r in of_class.groupBy("cipher").agg(F.sum("share").alias("n")).collect()}
+        letters = rows.filter("kind = 1").groupBy("source", "cipher", "symbol", "letter").agg(F.sum("n").alias("n")).filter(F.col("n") >= KEEP)
+        tables = letters.groupBy("source").agg(F.collect_list(F.struct("cipher", "symbol", "letter", "n")).alias("letters"))
+        priors = of_class.union(shown).groupBy("source").agg(F.collect_list(F.struct("cipher", "share")).alias("priors"))
+        states = cut(priors.join(tables, "source", "left"))
+    decided = groups.join(states, "source", "left").repartition(slots).mapInArrow(_decide(share((counts, everywhere))), "source string, key bigint, cipher string, odds double")
+    damaged = lines.select("_id", "source", "field", "line_no", "key").join(decided, ["source", "key"]).drop("key")
+    return damaged.dropDuplicates(["_id", "field", "line_no"]), states
+
+
+def damage(df: DataFrame, id_col: str = "scrape_id", url_col: str = "resolved_url", fields: tuple[str, ...] = ("title", "body"), rounds: int = ROUNDS) -> DataFrame:
+    """(id, source, field, line_no, cipher, odds): the damaged lines; cipher is the class that expectation-maximization gives each ('page>?'
+    where its letters were learned), '' where only lost characters tell; odds is the log of its posterior odds against the line as shown."""
+    return _learn(df, id_col, url_col, fields, rounds, False)[0].withColumnRenamed("_id", id_col)
+
+
+def restore(df: DataFrame, id_col: str = "scrape_id", url_col: str = "resolved_url", fields: tuple[str, ...] = ("title", "body"), rounds: int = ROUNDS) -> DataFrame:
+    """(id, field, restored, complete): each damaged field, every damaged line read by its own class; not complete where characters are lost."""
+    kind = df.schema[id_col].dataType.simpleString()
+    decided, states = _learn(df, id_col, url_col, fields, rounds, True)
+    decided = cut(decided.select("_id", "field", "line_no", "cipher"))
+    texts = _fields(df, id_col, url_col, fields).join(decided.select("_id", "field").distinct(), ["_id", "field"], "left_semi").dropDuplicates(["_id", "field"])
+    lines = texts.join(decided, ["_id", "field"]).select("source", "_id", "field", "line_no", "cipher", F.get(F.split("text", "\n"), F.col("line_no")).alias("line"))
+    groups = _grouped(lines, ["source"], ["_id", "field", "line_no", "cipher", "line"])
+    written = groups.join(states.select("source", "letters"), "source", "left").mapInArrow(_apply, f"_id {kind}, field string, line_no int, line string")
+    by_field = written.groupBy("_id", "field").agg(F.map_from_entries(F.collect_list(F.struct("line_no", "line"))).alias("lines"))
+    whole = F.array_join(F.transform(F.split("text", "\n"), lambda x, k: F.coalesce(F.col("lines")[k], x)), "\n")
+    restored = texts.join(by_field, ["_id", "field"]).select(F.col("_id").alias(id_col), "field", whole.alias("restored"))
+    return restored.withColumn("complete", ~F.col("restored").contains("\ufffd"))
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -487,5 +646,4 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _pages(spark, sf_dir)
-    return restore(pages, cut(damage(pages)))
+    return restore(_pages(spark, sf_dir))
