@@ -110,7 +110,7 @@ NATURAL = [EN, DE, FR, JA, ZH, "The council opened the new bridge on Monday, and
 @pytest.fixture(scope="module")
 def judged(spark):
     rows = [(k, t, 200, True) for k, t in enumerate([" ".join([x] * 6) for x in (EN + " " + NATURAL[5], DE, FR, JA, ZH)] * 8)]
-    rows += [(100 + k, t, 404 if k % 2 else 200, True) for k, t in enumerate(RESIDUE)] + [(200 + k, t, 200, True) for k, t in enumerate(NATURAL)] + [(300, None, None, False), (301, "  ", 500, None)]
+    rows += [(100 + k, t, 404 if k % 2 else 200, True) for k, t in enumerate(RESIDUE)] + [(200 + k, t, 200, True) for k, t in enumerate(NATURAL)] + [(220 + k, f"{t} {NATURAL[6]}", 200, True) for k, t in enumerate((EN, DE, FR))] + [(300, None, None, False), (301, "  ", 500, None)]
     df = spark.createDataFrame(rows, "scrape_id bigint, body string, status_code int, ok boolean").selectExpr("*", "1 as peak", "2 as _t")
     return df, {r["scrape_id"] for r in residue.find(df).collect()}
 

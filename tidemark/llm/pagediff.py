@@ -8,14 +8,17 @@ case, digits alike, list marks and white space reduced).
 Teasers differ from page to page. They stand below a shared heading that on most of the neighbours that have it is followed by an
 unshared line without an end of sentence, or carry arrows; the run of such lines below the heading is deleted too.
 
-The order is a range partitioning, so a host with a third of all pages is many tasks; a task holds a few hundred
-pages at a time. At a task's edge a page has neighbours on one side only. Pages whose remaining text is empty, or
-is residue (see residue), hold no article and are left out. Where the resolved URL is missing, the URL asked for places a page;
-null bodies have no rows, and pages without any URL have no neighbours and keep their body.
+Which pages are neighbours doesn't depend on how the rows are spread: the order is a range partitioning, each page gets its rank
+within its host (a host that spans partitions gets an offset for each, so that no task sees a whole host), and segments of SEGMENT
+ranks are differenced with the REACH pages before and after them. A page whose neighbours are all versions of it, as in a large group
+of copies, is held against the lines that differencing found on its host. Pages whose remaining text is empty, or is residue
+(see residue), hold no article and are left out. Where the resolved URL is missing, the URL asked for places a page; null bodies have no
+rows, and pages without any URL have no neighbours and keep their body. A line that a page repeats is aligned by its first place; all its places go.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -23,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import residue
+from tidemark.llm.checkpoints import cut
 from tidemark.llm.recode import read
 from tidemark.llm.sitelines import site_of
 
@@ -87,7 +91,7 @@ def increasing(places: list[int]) -> list[int]:
 
 
 class Page:
-    __slots__ = ("key", "keys", "lines", "place", "sentences", "shared", "site")
+    __slots__ = ("alone", "key", "keys", "lines", "place", "sentences", "shared", "site")
 
     def __init__(self, key, site: str, body: str):
         self.key, self.site, self.lines = key, site, body.split("\n")
@@ -99,16 +103,19 @@ class Page:
                 self.place.setdefault(x, k)
         self.sentences = {hash(s) for x in plain if len(x) >= PARAGRAPH or (len(x) >= PARAGRAPH * 2 // 5 and "⺀" < x[2] < "\ufffe") for s in _SENTENCES.split(x.lower()) if len(s) > 9}
         self.shared: Counter = Counter()
+        self.alone = True  # as long as no neighbour is another article
 
 
 def align(a: Page, b: Page) -> None:
     """Notes on both pages the lines of their longest common subsequence, unless they are versions of one article."""
     common = a.place.keys() & b.place.keys()
     if not common:
+        a.alone = b.alone = False
         return
     both = len(a.sentences & b.sentences)
     if both > 1 or both > SAME_ARTICLE * min(len(a.sentences), len(b.sentences)):
         return
+    a.alone = b.alone = False
     order = sorted(common, key=a.place.__getitem__)
     for k in increasing([b.place[x] for x in order]):
         a.shared[order[k]] += 1
@@ -162,51 +169,93 @@ def difference(pages: list[Page], first: int, last: int) -> Iterator[tuple[Page,
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[Page], int, int]]:
-    """Runs of pages of one host, with REACH pages before and after those to decide."""
+    """The segments, each with the pages before and after it; first and last number of its own pages."""
     pages: list[Page] = []
-    start = 0
+    own: list[int] = []
+    at = None
     for batch in batches:
-        for key, site, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if pages and pages[-1].site != site:
-                yield pages, start, len(pages)
-                pages, start = [], 0
+        for key, site, body, segment, core in zip(*(batch.column(c).to_pylist() for c in range(5))):
+            if at is not None and at != (site, segment):
+                if own:  # else the site ends where this segment would begin
+                    yield pages, own[0], own[-1] + 1
+                pages, own = [], []
+            at = (site, segment)
+            if core:
+                own.append(len(pages))
             pages.append(Page(key, site, body))
-            if len(pages) - start >= SEGMENT + REACH:
-                yield pages, start, start + SEGMENT
-                kept = max(start + SEGMENT - REACH, 0)
-                pages, start = pages[kept:], start + SEGMENT - kept
-    if pages:
-        yield pages, start, len(pages)
+    if own:
+        yield pages, own[0], own[-1] + 1
 
 
-def _mark(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: residue.Model = model.value
-        kind: list[pa.DataType] = []
+def _hash(line: str) -> int:
+    return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each page its lines that aren't part of the article and, where it had only versions of itself around it, the hashes of all its
+    lines; for each segment the hashes of the lines that differencing found."""
+    kind: list[pa.DataType] = []
+
+    def seen() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind[:] = [batch.schema.field(0).type]
+            yield batch
+
+    for pages, first, last in _runs(seen()):
+        found = list(difference(pages, first, last))
+        shared = {x for p, _ in found for x, n in p.shared.items() if n >= SUPPORT}
+        ids, lines, bodies = [p.key for p, _ in found], [out for _, out in found], ["\n".join(p.lines) for p, _ in found]
+        hashes = [[_hash(x) if x else None for x in p.keys] if p.alone else None for p, _ in found]
+        ids, lines, bodies, hashes = [*ids, None], [*lines, None], [*bodies, None], [*hashes, [_hash(x) for x in shared]]
+        sites = [pages[0].site] * len(ids)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, kind[0]), pa.array(sites, pa.string()), pa.array(lines, pa.list_(pa.int32())), pa.array(bodies, pa.string()), pa.array(hashes, pa.list_(pa.int64()))], ["_id", "site", "lines", "body", "hashes"])
 
-        def seen() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                kind[:] = [batch.schema.field(0).type]
-                yield batch
 
-        for pages, first, last in _runs(seen()):
-            found = list(difference(pages, first, last))
+def _articles(model):
+    """The bodies without the lines found and without blank ones, null where no article is left."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: residue.Model = model.value
+        for batch in batches:
             rest = []
-            for p, out in found:
-                gone = set(out)
-                rest.append("\n".join(x for k, x in enumerate(p.lines) if k not in gone and p.keys[k]))
-            peaks = m.peaks(rest)
-            keep = [bool(t) and not (w >= residue.LEAST / 3 and m.judge(t)[1] >= residue.COVER) for t, w in zip(rest, peaks)]
-            ids, lines, bodies = [], [], []
-            for (p, out), ok, t in zip(found, keep, rest):
-                ids.append(p.key)
-                lines.append(out if ok else None)
-                bodies.append(t if ok else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, kind[0]), pa.array(lines, pa.list_(pa.int32())), pa.array(bodies, pa.string())], ["_id", "lines", "article"])
+            for body, gone in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist()):
+                gone = set(gone)
+                rest.append("\n".join(x for k, x in enumerate(body.split("\n")) if k not in gone and x.strip()))
+            peaks = m.peaks(rest) if rest else []
+            keep = [bool(t) and not (w >= residue.LEAST / 2 and m.is_residue(t)) for t, w in zip(rest, peaks)]
+            lines = [x if ok else None for x, ok in zip(batch.column(1).to_pylist(), keep)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.list_(pa.int32())), pa.array([t if ok else None for t, ok in zip(rest, keep)], pa.string())], ["_id", "lines", "article"])
 
     return run
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds each row's place among the rows of its site in this partition, which come one after the other."""
+    site, n = None, 0
+    for batch in batches:
+        places = []
+        for s in batch.column(1).to_pylist():
+            n = n + 1 if s == site else 0
+            site = s
+            places.append(n)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], [*batch.schema.names, "place"])
+
+
+def segments(rows: DataFrame) -> DataFrame:
+    """(_id, site, body, segment, core, rank) of (_id, site, path, body): each page in its segment, and as a neighbour in those beside it."""
+    kind = rows.schema["_id"].dataType.simpleString()
+    ordered = rows.repartitionByRange("site", "path", "_id").sortWithinPartitions("site", "path", "_id").select("_id", "site", "body", F.spark_partition_id().alias("part"))
+    placed = cut(ordered.mapInArrow(_numbered, f"_id {kind}, site string, body string, part int, place bigint"))
+    ends = placed.groupBy("site", "part").agg(F.max("place").alias("last"))
+    before = F.sum(F.col("last") + 1).over(Window.partitionBy("site").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    # only sites that go on from the partition before: at most one for each partition
+    offsets = ends.select("site", "part", before.alias("offset")).filter("offset is not null")
+    ranked = placed.join(F.broadcast(offsets), ["site", "part"], "left").withColumn("rank", F.col("place") + F.coalesce("offset", F.lit(0)))
+    own, within = F.floor(F.col("rank") / SEGMENT), F.col("rank") % SEGMENT
+    cells = F.array_compact(F.array(F.struct(own.alias("segment"), F.lit(True).alias("core")), F.when((within < REACH) & (own > 0), F.struct((own - 1).alias("segment"), F.lit(False).alias("core"))), F.when(within >= SEGMENT - REACH, F.struct((own + 1).alias("segment"), F.lit(False).alias("core")))))
+    spread = ranked.select("_id", "site", "body", "rank", F.explode(cells).alias("c")).select("_id", "site", "body", "c.segment", "c.core", "rank")
+    return spread.repartition("site", "segment").sortWithinPartitions("site", "segment", "rank")
+
+
 def main_text(df: DataFrame, id_col: str = "scrape_id", url_col: str = "resolved_url", body_col: str = "body", status_col: str = "status_code", ok_col: str = "ok", asked_col: str | None = None) -> DataFrame:
     """(id, lines, article): the numbers of the lines that aren't part of the article, and the body without them and without blank
     lines; both null for pages without an article. asked_col: the URL of pages that lack one in url_col; with it, pages without
@@ -217,12 +266,17 @@ def main_text(df: DataFrame, id_col: str = "scrape_id", url_col: str = "resolved
     if asked_col:
         url = F.when(site_of(url).isNotNull(), url).otherwise(F.col(asked_col))
     every = df.select(F.col(id_col).alias("_id"), site_of(url).alias("site"), F.col(body_col).alias("body"), url_path(url).alias("path")).filter("body is not null")
-    rows = every.filter("site is not null")
-    ordered = rows.repartitionByRange("site", "path", "_id").sortWithinPartitions("site", "path", "_id").select("_id", "site", "body")
-    marked = ordered.mapInArrow(_mark(model), f"_id {kind}, lines array<int>, article string")
+    marked = cut(segments(every.filter("site is not null")).mapInArrow(_mark, f"_id {kind}, site string, lines array<int>, body string, hashes array<bigint>"))
+    pages = marked.filter("lines is not null")
+    known = marked.filter("lines is null").select("site", F.explode("hashes").alias("hash")).distinct()
+    # what the pages that had only versions of themselves around them share with the rest of their host
+    alone = cut(pages.filter("hashes is not null").withColumn("_row", F.monotonically_increasing_id()))
+    also = alone.select("_row", "site", F.posexplode("hashes").alias("k", "hash")).join(known, ["site", "hash"]).groupBy("_row").agg(F.sort_array(F.collect_list("k")).alias("more"))
+    held = alone.join(also, "_row", "left").withColumn("lines", F.array_sort(F.array_union("lines", F.coalesce("more", F.array().cast("array<int>")))))
+    done = pages.filter("hashes is null").select("_id", "lines", "body").union(held.select("_id", "lines", "body")).mapInArrow(_articles(model), f"_id {kind}, lines array<int>, article string")
     if asked_col:
-        marked = marked.union(every.filter("site is null").select("_id", F.array().cast("array<int>"), "body"))
-    return marked.withColumnRenamed("_id", id_col)
+        done = done.union(every.filter("site is null").select("_id", F.array().cast("array<int>"), "body"))
+    return done.withColumnRenamed("_id", id_col)
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:

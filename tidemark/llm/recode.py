@@ -36,10 +36,10 @@ from tidemark.llm.checkpoints import cut
 from tidemark.llm.sitelines import site_of
 
 BITS, BACK_OFF = 20, 5.0
-LEAST_GAIN, ROUNDS, QUOTE = 6.0, 3, 16  # nats that a reading has to gain beyond the odds of its cipher; rounds of EM; signs
+LEAST_GAIN, ROUNDS, QUOTE = 6.0, 2, 16  # nats that a reading has to gain beyond the odds of its cipher; rounds of EM; signs
 RARE, SPARSE, LOOSE = -12.5, -11.5, 2.6  # mean log frequency of a line's pairs, and mean log of how much likelier than by chance they are, below which readings are tried
 FREQUENCY = 0.5  # weight of the letters' own frequency beside their bigrams: a swap of two alphabets keeps the structure of the bigrams
-FAR, MOST_KNOWN = 30.0, 400_000  # nats; lines
+FAR, MOST_KNOWN = 20.0, 400_000  # nats; lines
 CLEAN, CIPHER = 200.0, 0.01  # lines as shown that each source is taken to have beforehand; share of damaged lines before any is known
 TRUST, SHARP, KEEP = 40.0, 8, 0.001  # weight of the code pages' own tables in a source's table; how sharply a page is preferred that explains more of it; least share of a letter to be kept
 GROUP = 256  # lines a row of the table of groups
@@ -286,10 +286,12 @@ def _possible(line: str, seldom: bool) -> Iterator[tuple[str, str]]:
     high = "".join(_BEYOND_ASCII.findall(line))
     signs = set(high)
     dense = len(high) * 10 >= 3 * (len(line) - line.count(" "))
+    held = {shown: len(signs & _inverse(shown).keys()) for shown in READ_AS}
+    least = max(0.8 * len(signs), max(held.values()) - 0.02 * len(signs))  # pages that hold as many of the signs as any
     for shown in READ_AS:
         if _utf8_units(shown).search(line):
             yield shown, "utf-8"
-        if seldom and len(signs & _inverse(shown).keys()) * 10 >= 8 * len(signs):
+        if seldom and held[shown] >= least:
             yield from ((shown, w) for w in ((*MULTI, *SINGLE) if dense else LATIN) if w != shown)
     if seldom and dense:
         yield from ((s, w) for s in MULTI for w in ("utf-8", *MULTI) if s != w)
@@ -301,7 +303,7 @@ def readings(line: str, model: Bigrams, seldom: bool) -> dict[str, float]:
     front = [("", line, 0.0)]
     while front:
         name, text, gain = front.pop(0)
-        for shown, written in _possible(text, seldom) if not name else ((p, "utf-8") for p in (*READ_AS, *MULTI)):
+        for shown, written in _possible(text, seldom) if not name else ((p, "utf-8") for p in (*READ_AS, *MULTI) if p in MULTI or _utf8_units(p).search(text)):
             new = read(text, shown, written)
             if new is None or new in seen:
                 continue
@@ -313,7 +315,7 @@ def readings(line: str, model: Bigrams, seldom: bool) -> dict[str, float]:
                 if written == "utf-8" or any(_utf8_units(p).search(new) for p in READ_AS[:2]):
                     front.append((cipher, new, better))
     best = max(out.values(), default=0.0)
-    return {c: g for c, g in out.items() if g >= best / 2 - FAR}  # one so far behind the best has no share in what is expected
+    return {c: g for c, g in out.items() if g >= 0.9 * best - FAR}  # one so far behind the best has no share in what is expected
 
 
 def class_of(cipher: str) -> str:
