@@ -281,41 +281,52 @@ def doubtful(lines: list[str], model: Bigrams) -> list[tuple[int, bool]]:
 
 
 def _possible(line: str, seldom: bool) -> Iterator[tuple[str, str]]:
-    """The ciphers worth a try: UTF-8 in a single-byte reading wherever its sequences stand; others in lines of seldom pairs, for the
-    pages that hold these characters."""
+    """The ciphers worth a try: UTF-8 in a single-byte reading wherever its sequences stand; others in lines of seldom pairs, unless such
+    sequences make up the line, for the pages that hold as many of its characters as any."""
     high = "".join(_BEYOND_ASCII.findall(line))
     signs = set(high)
     dense = len(high) * 10 >= 3 * (len(line) - line.count(" "))
-    held = {shown: len(signs & _inverse(shown).keys()) for shown in READ_AS}
-    least = max(0.8 * len(signs), max(held.values()) - 0.02 * len(signs))  # pages that hold as many of the signs as any
     for shown in READ_AS:
-        if _utf8_units(shown).search(line):
+        inside = sum(map(len, _utf8_units(shown).findall(line)))
+        if inside:
             yield shown, "utf-8"
-        if seldom and held[shown] >= least:
-            yield from ((shown, w) for w in ((*MULTI, *SINGLE) if dense else LATIN) if w != shown)
-    if seldom and dense:
-        yield from ((s, w) for s in MULTI for w in ("utf-8", *MULTI) if s != w)
+            seldom = seldom and not (dense and inside >= 0.9 * len(high))
+    if seldom:
+        held = {shown: len(signs & _inverse(shown).keys()) for shown in READ_AS}
+        least = max(0.8 * len(signs), max(held.values()) - 0.02 * len(signs))
+        for shown in READ_AS:
+            if held[shown] >= least:
+                yield from ((shown, w) for w in ((*MULTI, *SINGLE) if dense else LATIN) if w != shown)
+        if dense:
+            yield from ((s, w) for s in MULTI for w in ("utf-8", *MULTI) if s != w)
 
 
 def readings(line: str, model: Bigrams, seldom: bool) -> dict[str, float]:
     """Gain in log-likelihood of each cipher that fits a line better. A reading in which UTF-8 sequences still stand is read again."""
     base, out, seen = model.total(line), {}, {line}
+    near = lambda g: g >= 0.9 * max(out.values()) - FAR  # noqa: E731 - one so far behind the best has no share in what is expected
     front = [("", line, 0.0)]
     while front:
-        name, text, gain = front.pop(0)
-        for shown, written in _possible(text, seldom) if not name else ((p, "utf-8") for p in (*READ_AS, *MULTI) if p in MULTI or _utf8_units(p).search(text)):
-            new = read(text, shown, written)
-            if new is None or new in seen:
-                continue
-            seen.add(new)
-            better = model.total(new) - base
-            if better > gain:
-                cipher = f"{name}+{shown}>{written}".lstrip("+")
-                out[cipher] = better
-                if written == "utf-8" or any(_utf8_units(p).search(new) for p in READ_AS[:2]):
-                    front.append((cipher, new, better))
-    best = max(out.values(), default=0.0)
-    return {c: g for c, g in out.items() if g >= 0.9 * best - FAR}  # one so far behind the best has no share in what is expected
+        after = []
+        for name, text, gain in front:
+            for shown, written in _possible(text, seldom and not name):
+                new = read(text, shown, written)
+                if new is None or new in seen:
+                    continue
+                seen.add(new)
+                better = model.total(new) - base
+                if better > gain:
+                    cipher = f"{name}+{shown}>{written}".lstrip("+")
+                    out[cipher] = better
+                    after.append((cipher, new, better))
+            if name:
+                for shown in MULTI:
+                    new = read(text, shown, "utf-8")
+                    if new is not None and new not in seen and (better := model.total(new) - base) > gain:
+                        seen.add(new)
+                        out[f"{name}+{shown}>utf-8"] = better
+        front = [x for x in after if x[0].endswith(">utf-8") or near(x[2])]
+    return {c: g for c, g in out.items() if near(g)}
 
 
 def class_of(cipher: str) -> str:
