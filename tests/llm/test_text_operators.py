@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import langid, pagediff, recode, residue, sitelines
 
@@ -69,6 +70,33 @@ def test_page_differencing(spark):
     assert pagediff.main_text(pages(spark).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 4, 16, 64])
+def test_neighbours_do_not_depend_on_partitions(spark, partitions, monkeypatch):
+    monkeypatch.setattr(pagediff, "SEGMENT", 8)
+    monkeypatch.setattr(pagediff, "REACH", 3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        rows = pages(spark).select(F.col("scrape_id").alias("_id"), sitelines.site_of(F.col("resolved_url")).alias("site"), pagediff.url_path(F.col("resolved_url")).alias("path"), "body").filter("site is not null and body is not null")
+        got = pagediff.segments(rows).groupBy("site", "segment").agg(F.sort_array(F.collect_list(F.struct("rank", "_id", "core"))).alias("x")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    order = sorted((f"/news/{k}.html" if k < 40 else "/news/zz" if k == 102 else "/news/40.html", k) for k in [*range(40), 102, 103])
+    for r in got:
+        first, last = max(8 * r["segment"] - 3, 0), min(8 * r["segment"] + 11, 42)
+        assert [(x["rank"], x["_id"], x["core"]) for x in r["x"]] == [(n, order[n][1], n // 8 == r["segment"]) for n in range(first, last)]
+    assert sum(x["core"] for r in got for x in r["x"]) == 42
+
+
+def test_a_page_among_versions_of_itself_is_held_against_its_host(spark):
+    df = pages(spark)
+    copies = df.filter("scrape_id = 7").select("scrape_id", F.explode(F.sequence(F.lit(1000), F.lit(1099))).alias("n"), "resolved_url", "body", "status_code", "ok").drop("scrape_id").withColumnRenamed("n", "scrape_id")
+    out = {r["scrape_id"]: r["lines"] for r in pagediff.main_text(df.select(*copies.columns).union(copies)).collect()}
+    # teasers below a lead are found only beside other articles
+    wrong = {k: x for k, x in out.items() if k >= 1000 and not set(x or ()) >= {0, 5, 7, 8}}
+    assert not wrong and len(out[7]) == 5
+
+
 def test_pages_without_resolved_url_are_placed_by_the_url_asked_for(spark):
     df = pages(spark).selectExpr("scrape_id", "resolved_url as input_url", "case when scrape_id not in (7, 8) then resolved_url end as resolved_url", "body", "status_code", "ok")
     out = {r["scrape_id"]: r for r in pagediff.main_text(df, asked_col="input_url").collect()}
@@ -98,19 +126,36 @@ def test_repeated_lines_equal_sql(spark):
     assert sitelines.find_repeated(df.limit(0)).count() == 0
 
 
+def test_lines_that_stand_everywhere_are_no_lines_of_a_site(spark):
+    """The same footer on most pages of all sites is in excess on none of them; a line of one site is."""
+    rows = [(100 * s + k, f"https://s{s}.example/{k}", "\n".join([f"own {word(s * 97 + k)}", *(["Advertisement"] if k % 10 else []), *(["Only here"] if s == 3 and k % 2 else [])])) for s in range(8) for k in range(40)]
+    df = spark.createDataFrame(rows, "scrape_id bigint, resolved_url string, body string").repartition(5)
+    found = sitelines.repeated_lines(df).collect()
+    assert [(r["site"], r["records"], r["elsewhere"]) for r in found] == [("s3.example", 20, 0)]
+    got = {(r["scrape_id"], r["line_no"]) for r in sitelines.find_repeated(df).collect()}
+    assert got == {(300 + k, 2 if k % 10 else 1) for k in range(1, 40, 2)}
+
+
+def test_removal_keeps_order_blank_lines_and_repeated_rows(spark):
+    rows = [(k, "https://a.example/x", f"first {word(k)}\n\nsame\nlast {word(k * 3)}\nsame") for k in range(12)] * 2 + [(50, "https://a.example/y", "same"), (51, None, "same"), (52, "https://a.example/z", None), (53, "https://a.example/z", "")]
+    df = spark.createDataFrame(rows, "scrape_id bigint, resolved_url string, body string").selectExpr("*", "1 as site", "2 as salt", "3 as _row")
+    out = sorted((r["scrape_id"], r["body"], r["removed"]) for r in sitelines.remove_repeated(df).collect() if r["body"] is not None)
+    assert out == sorted([(k, f"first {word(k)}\n\nlast {word(k * 3)}", 2) for k in range(12)] * 2 + [(50, "", 1), (51, "same", 0), (53, "", 0)])
+
+
 def test_false_discovery_threshold():
     assert sitelines._least_g([(0, 1000)], 1000, 0.05) == float("inf")
     assert sitelines._least_g([(0, 1000), (400, 10)], 1010, 0.05) == 50
 
 
 RESIDUE = ["{{ article.title }}", "Please enable JavaScript to view this page.", "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "Seite nicht gefunden", "ページが見つかりません", "The council opened ${street} bridge on Monday.", "null", "此处添加正文内容", "It rained XXXX on %(day)s in the town."]
-NATURAL = [EN, DE, FR, JA, ZH, "The council opened the new bridge on Monday, and “404 Not Found” was what many people came to see.", "One chapter explains what {{ name }} means in a template and why it leaked into letters."]
+NATURAL = [EN, DE, FR, JA, ZH, "The council opened the new bridge on Monday, and “404 Not Found” was what many people came to see.", *(" ".join([t] * 4) + " One chapter explains what {{ name }} means in a template and why it leaked into letters." for t in (EN, DE, FR, EN + DE))]
 
 
 @pytest.fixture(scope="module")
 def judged(spark):
     rows = [(k, t, 200, True) for k, t in enumerate([" ".join([x] * 6) for x in (EN + " " + NATURAL[5], DE, FR, JA, ZH)] * 8)]
-    rows += [(100 + k, t, 404 if k % 2 else 200, True) for k, t in enumerate(RESIDUE)] + [(200 + k, t, 200, True) for k, t in enumerate(NATURAL)] + [(220 + k, f"{t} {NATURAL[6]}", 200, True) for k, t in enumerate((EN, DE, FR))] + [(300, None, None, False), (301, "  ", 500, None)]
+    rows += [(100 + k, t, 404 if k % 2 else 200, True) for k, t in enumerate(RESIDUE)] + [(200 + k, t, 200, True) for k, t in enumerate(NATURAL)] + [(300, None, None, False), (301, "  ", 500, None)]
     df = spark.createDataFrame(rows, "scrape_id bigint, body string, status_code int, ok boolean").selectExpr("*", "1 as peak", "2 as _t")
     return df, {r["scrape_id"] for r in residue.find(df).collect()}
 
@@ -209,8 +254,6 @@ def test_clean_lines_that_repeat_stay(spark):
 
 
 def test_bounded_sample(spark):
-    from pyspark.sql import functions as F
-
     from tidemark.llm.sampling import bounded_sample
 
     df = spark.range(10000)

@@ -10,8 +10,8 @@ unshared line without an end of sentence, or carry arrows; the run of such lines
 
 Which pages are neighbours doesn't depend on how the rows are spread: the order is a range partitioning, each page gets its rank
 within its host (a host that spans partitions gets an offset for each, so that no task sees a whole host), and segments of SEGMENT
-ranks are differenced with the REACH pages before and after them. A page whose neighbours are all versions of it, as in a large group
-of copies, is held against the lines that differencing found on its host. Pages whose remaining text is empty, or is residue
+ranks are differenced with the REACH pages before and after them. A page with few neighbours that aren't versions of it, as in a large
+group of copies, is also held against the lines that differencing found on its host. Pages whose remaining text is empty, or is residue
 (see residue), hold no article and are left out. Where the resolved URL is missing, the URL asked for places a page; null bodies have no
 rows, and pages without any URL have no neighbours and keep their body. A line that a page repeats is aligned by its first place; all its places go.
 """
@@ -91,7 +91,7 @@ def increasing(places: list[int]) -> list[int]:
 
 
 class Page:
-    __slots__ = ("alone", "key", "keys", "lines", "place", "sentences", "shared", "site")
+    __slots__ = ("key", "keys", "lines", "others", "place", "sentences", "shared", "site")
 
     def __init__(self, key, site: str, body: str):
         self.key, self.site, self.lines = key, site, body.split("\n")
@@ -103,19 +103,19 @@ class Page:
                 self.place.setdefault(x, k)
         self.sentences = {hash(s) for x in plain if len(x) >= PARAGRAPH or (len(x) >= PARAGRAPH * 2 // 5 and "⺀" < x[2] < "\ufffe") for s in _SENTENCES.split(x.lower()) if len(s) > 9}
         self.shared: Counter = Counter()
-        self.alone = True  # as long as no neighbour is another article
+        self.others = 0  # neighbours that are another article
 
 
 def align(a: Page, b: Page) -> None:
     """Notes on both pages the lines of their longest common subsequence, unless they are versions of one article."""
     common = a.place.keys() & b.place.keys()
     if not common:
-        a.alone = b.alone = False
+        a.others, b.others = a.others + 1, b.others + 1
         return
     both = len(a.sentences & b.sentences)
     if both > 1 or both > SAME_ARTICLE * min(len(a.sentences), len(b.sentences)):
         return
-    a.alone = b.alone = False
+    a.others, b.others = a.others + 1, b.others + 1
     order = sorted(common, key=a.place.__getitem__)
     for k in increasing([b.place[x] for x in order]):
         a.shared[order[k]] += 1
@@ -192,7 +192,7 @@ def _hash(line: str) -> int:
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each page its lines that aren't part of the article and, where it had only versions of itself around it, the hashes of all its
+    """For each page its lines that aren't part of the article and, where fewer than half of REACH neighbours were other articles, the hashes of all its
     lines; for each segment the hashes of the lines that differencing found."""
     kind: list[pa.DataType] = []
 
@@ -205,7 +205,7 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = list(difference(pages, first, last))
         shared = {x for p, _ in found for x, n in p.shared.items() if n >= SUPPORT}
         ids, lines, bodies = [p.key for p, _ in found], [out for _, out in found], ["\n".join(p.lines) for p, _ in found]
-        hashes = [[_hash(x) if x else None for x in p.keys] if p.alone else None for p, _ in found]
+        hashes = [[_hash(x) if x else None for x in p.keys] if p.others < REACH // 2 else None for p, _ in found]
         ids, lines, bodies, hashes = [*ids, None], [*lines, None], [*bodies, None], [*hashes, [_hash(x) for x in shared]]
         sites = [pages[0].site] * len(ids)
         yield pa.RecordBatch.from_arrays([pa.array(ids, kind[0]), pa.array(sites, pa.string()), pa.array(lines, pa.list_(pa.int32())), pa.array(bodies, pa.string()), pa.array(hashes, pa.list_(pa.int64()))], ["_id", "site", "lines", "body", "hashes"])
@@ -269,7 +269,7 @@ def main_text(df: DataFrame, id_col: str = "scrape_id", url_col: str = "resolved
     marked = cut(segments(every.filter("site is not null")).mapInArrow(_mark, f"_id {kind}, site string, lines array<int>, body string, hashes array<bigint>"))
     pages = marked.filter("lines is not null")
     known = marked.filter("lines is null").select("site", F.explode("hashes").alias("hash")).distinct()
-    # what the pages that had only versions of themselves around them share with the rest of their host
+    # what the pages that had few others around them share with the rest of their host
     alone = cut(pages.filter("hashes is not null").withColumn("_row", F.monotonically_increasing_id()))
     also = alone.select("_row", "site", F.posexplode("hashes").alias("k", "hash")).join(known, ["site", "hash"]).groupBy("_row").agg(F.sort_array(F.collect_list("k")).alias("more"))
     held = alone.join(also, "_row", "left").withColumn("lines", F.array_sort(F.array_union("lines", F.coalesce("more", F.array().cast("array<int>")))))

@@ -1,16 +1,14 @@
 """Problem 4: lines repeated excessively within one site.
 
-Each line of each site is tested by the log-likelihood ratio of its frequency within the site against lines' frequency
-elsewhere, and the false discovery rate over all lines is held by the Benjamini-Hochberg rule. Two outside rates are
-compared: that of the very same line in other sites (`site_excess`), and that of an incidental line, which stands
-nowhere else: half a record among all, as a line not seen is counted (`excess`). A footer that
-all sites share has no excess of the first kind, yet is repeated by the definition, so significance is
-decided on the second; an exact check of the definition's counts follows.
-
-A site's repeated lines are bounded: each stands in at least `min_share` of the records, so there are at most
-(lines per record) / min_share of them. They travel as one array per site; texts are never shuffled by line.
-
-Null bodies and null URLs belong to no site. Records count by row: rows that are repeated count each.
+Each line of each site is tested by the log-likelihood ratio of its frequency within the site against its frequency outside of the
+site, and the false discovery rate over all lines of all sites is held by the Benjamini-Hochberg rule. A line that no other site
+holds is taken to stand in half a record among all. A line that is significant on some site is furniture of a kind that several sites may
+use, which raises its frequency outside; on the other sites it is tested, by the same rule, against that half record. Lines that are
+significant and meet the counts (min_records, min_share) are repeated; a line that stands everywhere alike is significant nowhere. They are removed by an anti-join on
+site and line, and the bodies are put together again by position. Both joins spread each site over SALTS keys, so that a hot site
+is no single task.
+
+Null bodies and null URLs belong to no site and stay as they are. Records count by row: rows that are repeated count each.
 """
 
 from __future__ import annotations
@@ -23,7 +21,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.checkpoints import cut
 
 MIN_RECORDS, MIN_SHARE, FALSE_DISCOVERIES = 4, 0.03, 0.05
-BINS_PER_UNIT, MOST_BIN = 8, 8000
+BINS_PER_UNIT, MOST_BIN, SALTS = 8, 8000, 16
 
 
 def site_of(url: Column) -> Column:
@@ -63,52 +61,76 @@ def _least_g(bins: list[tuple[int, int]], tests: int, q: float) -> float:
     return least
 
 
-def line_scores(df: DataFrame, url_col: str, body_col: str) -> DataFrame:
-    """(site, line_key, records, site_records, elsewhere, excess, site_excess) of each line of each site."""
-    rows = df.select(site_of(F.col(url_col)).alias("site"), F.array_distinct(F.array_compact(line_keys(F.col(body_col)))).alias("keys"), F.col(body_col).isNotNull().alias("there")).filter("site is not null and there")
-    sizes = rows.groupBy("site").agg(F.count("*").alias("site_records"))
-    counts = cut(rows.select("site", F.explode("keys").alias("line_key")).groupBy("site", "line_key").agg(F.count("*").alias("records")))
-    lines, records = float(counts.count()), float(sizes.agg(F.sum("site_records").alias("n")).first()["n"] or 0)
+def _lines(df: DataFrame, id_col: str, url_col: str, body_col: str, text: bool) -> DataFrame:
+    """(_row, _id, site, line_no, line_key, first[, line]) of each line of each body that belongs to a site; key: null for blank lines; first: whether the body has no
+    such line before."""
+    rows = df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), site_of(F.col(url_col)).alias("site"), F.col(body_col).alias("_body")).filter("site is not null and _body is not null")
+    rows = rows.withColumn("_keys", line_keys(F.col("_body")))
+    at = F.sequence(F.lit(0), F.size("_keys") - 1)
+    fields = lambda k: [k.alias("line_no"), F.get("_keys", k).alias("line_key"), *([F.get("_texts", k).alias("line")] if text else [])]
+    if text:
+        rows = rows.withColumn("_texts", F.split("_body", "\n"))
+    cells = rows.select("_row", "_id", "site", F.explode(F.transform(at, lambda k: F.struct(*fields(k), (F.array_position("_keys", F.get("_keys", k)) == k + 1).alias("first")))).alias("x")).select("_row", "_id", "site", "x.*")
+    return cut(cells if text else cells.filter("line_key is not null"))
+
+
+def _scores(lines: DataFrame, sizes: DataFrame) -> DataFrame:
+    counts = cut(lines.filter("first").groupBy("site", "line_key").agg(F.count("*").alias("records")))
+    sizes = cut(sizes)
+    tests, records = float(counts.count()), float(sizes.agg(F.sum("site_records").alias("n")).first()["n"] or 0)
     again = counts.filter("records > 1")  # a line that stands once has no excess to test; it counts as a test below
     everywhere = counts.groupBy("line_key").agg(F.sum("records").alias("anywhere"))
     k, n = F.col("records").cast("double"), F.col("site_records").cast("double")
-    incidental = F.lit(0.5 / max(records, 1.0))
-    same = (F.col("anywhere") - k + 0.5) / (F.lit(records) - n + 1)
-    return (
-        again.join(sizes, "site").join(everywhere, "line_key")
-        .select("site", "line_key", "records", "site_records", (F.col("anywhere") - F.col("records")).alias("elsewhere"), _llr(k, n, incidental).alias("excess"), _llr(k, n, same).alias("site_excess"), F.lit(lines).alias("tests"))
-    )
+    elsewhere = F.col("anywhere") - F.col("records")
+    rate = F.coalesce(F.try_divide(elsewhere, F.lit(records) - n), F.lit(0.0)) + F.lit(0.5 / max(records, 1.0))
+    return again.join(sizes, "site").join(everywhere, "line_key").select("site", "line_key", "records", "site_records", elsewhere.alias("elsewhere"), _llr(k, n, rate).alias("excess"), _llr(k, n, F.lit(0.5 / max(records, 1.0))).alias("incidental"), F.lit(tests).alias("tests"))
 
 
-def repeated_lines(df: DataFrame, url_col: str = "resolved_url", body_col: str = "body", min_records: int = MIN_RECORDS, min_share: float = MIN_SHARE, q: float = FALSE_DISCOVERIES) -> DataFrame:
-    """(site, line_key, records, site_records, elsewhere, excess, site_excess) of the repeated lines of each site."""
-    scores = cut(line_scores(df, url_col, body_col))
+def _sizes(df: DataFrame, url_col: str, body_col: str) -> DataFrame:
+    return df.filter(F.col(body_col).isNotNull()).groupBy(site_of(F.col(url_col)).alias("site")).agg(F.count("*").alias("site_records")).filter("site is not null")
+
+
+def _threshold(scores: DataFrame, q: float) -> float:
     bins = scores.groupBy(F.least(F.floor(F.col("excess") * BINS_PER_UNIT), F.lit(MOST_BIN)).alias("b")).agg(F.count("*").alias("c"), F.max("tests").alias("t")).collect()  # at most MOST_BIN + 1 rows
-    least = _least_g([(r["b"], r["c"]) for r in bins], int(max((r["t"] for r in bins), default=0)), q)
+    return _least_g([(r["b"], r["c"]) for r in bins], int(max((r["t"] for r in bins), default=0)), q)
+
+
+def _repeated(lines: DataFrame, sizes: DataFrame, min_records: int = MIN_RECORDS, min_share: float = MIN_SHARE, q: float = FALSE_DISCOVERIES) -> DataFrame:
+    scores = cut(_scores(lines, sizes))
+    elsewhere = scores.filter(F.col("excess") >= F.lit(_threshold(scores, q))).select("line_key").distinct().withColumn("known", F.lit(True))
+    scores = cut(scores.join(elsewhere, "line_key", "left").withColumn("excess", F.when(F.col("known"), F.greatest("excess", "incidental")).otherwise(F.col("excess"))).drop("known", "incidental"))
+    least = _threshold(scores, q)
     share = F.col("records") >= F.ceil(F.col("site_records") * F.lit(str(min_share)).cast("decimal(10,6)"))
     return scores.filter((F.col("excess") >= F.lit(least)) & (F.col("records") >= min_records) & share).drop("tests")
 
 
-def _with_marks(df: DataFrame, url_col: str, body_col: str, **limits: float) -> DataFrame:
-    """The rows with `_marks`: for each line of the body whether it is repeated in its site."""
-    by_site = repeated_lines(df, url_col, body_col, **limits).groupBy("site").agg(F.collect_set("line_key").alias("_keys")).withColumnRenamed("site", "_site")
-    joined = df.withColumn("_site", site_of(F.col(url_col))).join(by_site, "_site", "left")
-    return joined.withColumn("_marks", F.transform(line_keys(F.col(body_col)), lambda k: F.coalesce(F.array_contains("_keys", k), F.lit(False))))
+def repeated_lines(df: DataFrame, url_col: str = "resolved_url", body_col: str = "body", min_records: int = MIN_RECORDS, min_share: float = MIN_SHARE, q: float = FALSE_DISCOVERIES) -> DataFrame:
+    """(site, line_key, records, site_records, elsewhere, excess) of the repeated lines of each site."""
+    return _repeated(_lines(df, url_col, url_col, body_col, False), _sizes(df, url_col, body_col), min_records, min_share, q)
+
+
+def _salted(lines: DataFrame, repeated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    salts = F.explode(F.array([F.lit(k) for k in range(SALTS)])).alias("salt")
+    return lines.withColumn("salt", F.pmod(F.hash("_row"), F.lit(SALTS))), repeated.select("site", "line_key", salts)
 
 
 def find_repeated(df: DataFrame, id_col: str = "scrape_id", url_col: str = "resolved_url", body_col: str = "body", **limits: float) -> DataFrame:
     """(id, line_no): each occurrence of a repeated line."""
-    slim = df.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(body_col).alias("_body"))
-    marked = _with_marks(slim, "_url", "_body", **limits).filter(F.exists("_marks", lambda m: m))
-    return marked.select("_id", F.posexplode("_marks").alias("line_no", "_m")).filter("_m").select(F.col("_id").alias(id_col), "line_no")
+    lines = _lines(df, id_col, url_col, body_col, False)
+    ours, theirs = _salted(lines, cut(_repeated(lines, _sizes(df, url_col, body_col), **limits)))
+    return ours.join(theirs, ["site", "line_key", "salt"], "left_semi").select(F.col("_id").alias(id_col), "line_no")
 
 
 def remove_repeated(df: DataFrame, id_col: str = "scrape_id", url_col: str = "resolved_url", body_col: str = "body", **limits: float) -> DataFrame:
     """(id, body, removed): each body without its site's repeated lines, the others in their order; null bodies stay null."""
-    slim = df.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(body_col).alias("_body"))
-    marked = _with_marks(slim, "_url", "_body", **limits)
-    kept = F.filter(F.split("_body", "\n"), lambda _, k: ~F.get("_marks", k))
-    return marked.select(F.col("_id").alias(id_col), F.array_join(kept, "\n").alias(body_col), F.when(F.col("_body").isNotNull(), F.size(F.filter("_marks", lambda m: m))).otherwise(0).alias("removed"))
+    lines = _lines(df, id_col, url_col, body_col, True)
+    ours, theirs = _salted(lines, cut(_repeated(lines.filter("line_key is not null"), _sizes(df, url_col, body_col), **limits)))
+    kept = ours.join(theirs, ["site", "line_key", "salt"], "left_anti")
+    of_row = kept.groupBy("_row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("_left"), F.count("*").alias("_n"))
+    every = lines.groupBy("_row").agg(F.first("_id").alias("_id"), F.count("*").alias("_all"))
+    whole = every.join(of_row, "_row", "left").select(F.col("_id").alias(id_col), F.coalesce("_left", F.lit("")).alias(body_col), (F.col("_all") - F.coalesce("_n", F.lit(0))).cast("int").alias("removed"))
+    rest = df.filter(site_of(F.col(url_col)).isNull() | F.col(body_col).isNull()).select(F.col(id_col), F.col(body_col), F.lit(0).alias("removed"))
+    return whole.unionByName(rest)
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
