@@ -75,9 +75,39 @@ def test_every_page_has_a_class(spark, tmp_path):
 
 def test_hot_bucket_is_cut_into_blocks_without_loss(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 4)
-    keyed = spark.createDataFrame([(1, k) for k in range(30)] + [(2, 99)], "bucket bigint, id bigint")
-    got = {(r["a"], r["b"]) for r in neardup._pairs(keyed).collect()}
-    assert got == {(a, b) for a in range(30) for b in range(a + 1, 30)}
+    monkeypatch.setattr(neardup, "PROBE", 1)
+    keyed = spark.createDataFrame([(1, k) for k in range(30)] + [(2, 99)] + [(3, k) for k in range(3)], "bucket bigint, id bigint")
+    got = [(r["a"], r["b"]) for r in neardup._pairs(keyed).collect()]
+    assert sorted(got) == sorted([(a, b) for a in range(30) for b in range(a + 1, 30)] + [(0, 1), (0, 2), (1, 2)])
+
+
+def test_no_task_holds_a_hot_bucket(spark):
+    """Of one bucket with all ids, no cell holds more than a few blocks, and the cells hold each pair once."""
+    n = 20_000
+    keyed = spark.range(n).selectExpr("1L as bucket", "id")
+    pairs = neardup._pairs(keyed)
+    counts = pairs.groupBy((pairs["a"] % 100).alias("k")).count().collect()
+    assert sum(r["count"] for r in counts) == n * (n - 1) // 2
+
+
+def test_banding_misses_few_pairs():
+    """At 0.55, the least similarity of a true pair, under 1 in 50 pairs share no band; at 0.6 under 1 in 500."""
+    rng = np.random.default_rng(3)
+    for similarity, most in ((0.55, 0.02), (0.6, 0.002)):
+        a = rng.integers(0, 256, (4000, neardup.ROWS), dtype=np.uint8)
+        b = np.where(rng.random(a.shape) < similarity, a, rng.integers(0, 256, a.shape, dtype=np.uint8))
+        assert (~(neardup.bands(a) == neardup.bands(b)).any(axis=1)).mean() < most
+
+
+def test_copies_are_expanded_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "PROBE", 1)
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(k, text) for k in range(25)] + [(100, text + " more")]
+    pairs, members = neardup.similar(spark.createDataFrame(rows, "id bigint, text string"), 0.8)
+    got = sorted((r["a"], r["b"]) for r in neardup.expand(pairs, members).collect())
+    ids = [*range(25), 100]
+    assert got == [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :]]
 
 
 def test_posterior_bound_keeps_true_pairs():
@@ -85,6 +115,8 @@ def test_posterior_bound_keeps_true_pairs():
     for n, least in neardup.least_matches(0.5):
         assert 0 < least < n / 2
         assert (rng.binomial(n, 0.5, 20000) < least).mean() < 0.02
+    matches = np.cumsum(rng.random((20000, neardup.ROWS)) < 0.55 + 0.45 / 256, axis=1)  # over all batches, at the least similarity of a true pair
+    assert np.any([matches[:, n - 1] < least for n, least in neardup.least_matches(0.5)], axis=0).mean() < 0.005
 
 
 def test_empty_and_string_ids(spark):

@@ -2,8 +2,9 @@
 
 1. One pass over the texts gives each a MinHash signature (one byte per row) of its word shingles. Records with the same
    set of shingles are one class from here on; the least id stands for it.
-2. Bands of signature rows are buckets. Buckets are cut into blocks, and pairs are made per pair of blocks, each by a
-   task of bounded size: a bucket with a third of all records is many small tasks, and no pair is lost.
+2. Bands of signature rows are buckets. Large buckets are cut into blocks by a hash of the id, and pairs are made per pair of blocks,
+   each by a task of bounded size: a bucket with a third of all records is many small tasks, and no pair is lost. Which buckets are
+   large is estimated from a 64th of the ids; the estimate decides how finely a bucket is cut, never what is compared.
 3. Candidates are compared batch by batch of signature rows. After each batch the posterior probability that the
    similarity reaches the threshold follows from the matches so far; a pair goes as soon as it falls below the chosen
    miss probability.
@@ -21,14 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import textcodes as tc
-from tidemark.llm.checkpoints import cut
+from tidemark.llm.checkpoints import cut, release
 
-ROWS, BAND_ROWS, BANDS, BATCH_ROWS = 192, 6, 96, 32
-BLOCK = 128
+ROWS, BAND_ROWS, BANDS, BATCH_ROWS = 192, 5, 96, 32
+BLOCK, PROBE = 256, 64  # ids of a block; one id of so many is counted to find large buckets
 MISS = 0.001
 
 
@@ -189,17 +190,17 @@ def _verify(threshold: float):
 
 
 def _pairs(keyed: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of ids in the same bucket, by pairs of blocks of at most BLOCK ids each."""
-    w = Window.partitionBy("bucket")
-    shared = keyed.select("bucket", "id", F.count("*").over(w).alias("n"), F.row_number().over(w.orderBy("id")).alias("k")).filter("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.floor((F.col("k") - 1) / BLOCK).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(j, mine).alias("i"), F.greatest(j, mine).alias("j")))
+    """(a, b), a < b, of ids in the same bucket, by pairs of blocks of about BLOCK ids each; once for each bucket they share."""
+    probed = keyed.filter(F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(PROBE)) == 0).groupBy("bucket").agg((F.count("*") * PROBE).alias("n"))
+    large = cut(probed.filter(F.col("n") >= 4 * BLOCK).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    shared = keyed.join(large, "bucket", "left").select("bucket", "id", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, mine).alias("i"), F.greatest(j, mine).alias("j")))
     placed = shared.select("bucket", "id", mine.alias("mine"), F.explode(cells).alias("c")).select("bucket", "c.i", "c.j", "id", "mine")
     # repartition by the whole cell: else the cells of a hot bucket would stay together
     groups = placed.repartition("bucket", "i", "j").groupBy("bucket", "i", "j").agg(F.collect_list(F.when(F.col("mine") == F.col("i"), F.col("id"))).alias("x"), F.collect_list(F.when(F.col("mine") == F.col("j"), F.col("id"))).alias("y"))
-    pairs = groups.select(F.explode("x").alias("p"), "y").select("p", F.explode("y").alias("q")).filter("p <> q")
-    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    pairs = groups.filter((F.col("i") != F.col("j")) | (F.size("x") > 1)).select(F.explode("x").alias("p"), "y", (F.col("i") == F.col("j")).alias("own")).select("p", F.explode("y").alias("q"), "own")
+    return pairs.filter((F.col("p") < F.col("q")) | (~F.col("own") & (F.col("p") > F.col("q")))).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
 def similar(df: DataFrame, threshold: float, words: int = 5, id_col: str = "id", text_col: str = "text", min_letters: int = 0, miss: float = MISS) -> tuple[DataFrame, DataFrame]:
@@ -210,7 +211,7 @@ def similar(df: DataFrame, threshold: float, words: int = 5, id_col: str = "id",
     reps = cut(signed.groupBy("same", "size").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")))
     members = signed.select("id", "same", "size").join(reps.select("rep", "same", "size"), ["same", "size"]).select("id", "rep").distinct()
     keyed = reps.select(F.col("rep").alias("id"), "sig").mapInArrow(_spread, f"bucket bigint, id {kind}")
-    candidates = _pairs(keyed)
+    candidates = _pairs(keyed).distinct()
     sig = reps.select("rep", "sig")
     signed_pairs = candidates.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
     survivors = cut(signed_pairs.mapInArrow(_compare(threshold, miss), f"a {kind}, b {kind}"))
@@ -221,29 +222,27 @@ def similar(df: DataFrame, threshold: float, words: int = 5, id_col: str = "id",
 
 
 def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(a, b), a < b: the pairs of all records, copies included."""
-    linked = pairs.join(members.toDF("x", "a"), "a").join(members.toDF("y", "b"), "b").select("x", "y")
-    copies = members.filter("id <> rep")
-    alike = copies.toDF("x", "rep").join(members.toDF("y", "rep"), "rep").filter("x > y").select("x", "y")
-    return linked.union(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    """(a, b), a < b: the pairs of all records, copies included. Copies of one text are paired by blocks, as buckets are."""
+    linked = pairs.join(members.toDF("x", "a"), "a").join(members.toDF("y", "b"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return linked.union(_pairs(members.select(F.col("rep").alias("bucket"), "id")))
 
 
 def classes(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """(id, class_id, links BIGINT): the connected class of every member, named by its least id, and the number of texts, other
-    than its own, that its text is linked to. Labels fall to the least neighbour's and jump to their label's label."""
+    than its own, that its text is linked to. Labels fall to the least neighbour's and jump to their label's label; the tables of a
+    round go when the next is written."""
     links = cut(pairs.select("a", "b").union(pairs.select("b", "a")))
-    label = cut(links.select(F.col("a").alias("id")).distinct().select("id", F.col("id").alias("c")))
+    label = cut(links.select(F.col("a").alias("id")).distinct().select("id", F.col("id").alias("c"), F.lit(True).alias("fell")))
     while True:
-        near = links.join(label.toDF("b", "cb"), "b").groupBy("a").agg(F.min("cb").alias("m"))
-        lower = label.join(near.withColumnRenamed("a", "id"), "id").select("id", "c", F.least("c", "m").alias("m"))
-        step = cut(lower)
-        jump = step.join(step.select(F.col("id").alias("m"), F.col("m").alias("mm")), "m").select("id", "c", F.least("m", "mm").alias("m"))
-        after = cut(jump)
-        label = after.select("id", F.col("m").alias("c"))
-        if after.filter("m < c").isEmpty():
+        near = links.join(label.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b").groupBy("a").agg(F.min("cb").alias("m"))
+        step = cut(label.join(near.withColumnRenamed("a", "id"), "id").select("id", "c", F.least("c", "m").alias("m")))
+        after = cut(step.join(step.select(F.col("id").alias("m"), F.col("m").alias("mm")), "m").select("id", F.least("m", "mm").alias("c"), (F.least("m", "mm") < F.col("c")).alias("fell")))
+        release(label, step)
+        label = after
+        if after.filter("fell").isEmpty():
             break
     degree = links.groupBy("a").agg(F.count("*").alias("links")).withColumnRenamed("a", "rep")
-    joined = members.join(label.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
+    joined = members.join(label.select(F.col("id").alias("rep"), "c"), "rep", "left").join(degree, "rep", "left")
     return joined.select("id", F.coalesce("c", "rep").alias("class_id"), F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
 
 
