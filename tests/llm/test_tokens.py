@@ -59,6 +59,33 @@ def test_encode_column_handles_nulls_repeats_and_other_columns(spark):
     assert counts == {(1, 2), (2, 0), (3, 0)}
 
 
+def test_offsets_and_round_trip(spark, coder):
+    texts = [*TRICKY, None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").selectExpr("*", "1 as ids")
+    spans = {r["doc_id"]: r for r in tokenizer.encode_spans(df).collect()}
+    for k, t in enumerate(texts):
+        r = spans[k]
+        assert len(r["slice_starts"]) == len(r["slice_ids"])
+        for n, (start, first) in enumerate(zip(r["slice_starts"], r["slice_ids"])):
+            more = n + 1 < len(r["slice_ids"])
+            assert coder.text(r["ids"][first : r["slice_ids"][n + 1] if more else None]) == t[start : r["slice_starts"][n + 1] if more else None]
+    back = {r["doc_id"]: r["text"] for r in tokenizer.decode_column(tokenizer.encode_column(df)).collect()}
+    assert back == {k: t or "" for k, t in enumerate(texts)}
+
+
+def test_cuts_of_a_long_text_with_bad_places_are_linear():
+    import time
+
+    rank = np.full(2_000_001, 4, np.uint8)
+    rank[::7] = 8
+    for k in range(900, len(rank), 1100):
+        rank[k - 300 : k + 300] = 8
+    began = time.perf_counter()
+    ends = pieces.cuts(len(rank) - 1, rank, 1024, 64)
+    starts = [0, *(e - 64 for e in ends[:-1])]
+    assert all(0 < e - s <= 1024 for s, e in zip(starts, ends)) and ends[-1] == 2_000_000 and time.perf_counter() - began < 5
+
+
 def test_plan_fits_and_fills():
     random.seed(2)
     sizes = [min(50, int(random.expovariate(0.1)) + 1) for _ in range(5000)]
@@ -74,7 +101,9 @@ def test_plan_fits_and_fills():
     assert containers <= sum(sizes) / 50 * 1.01 + 1
 
 
-def test_pack_places_every_item_once(spark):
+def test_pack_places_every_item_once(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SORTED", 20)
+    monkeypatch.setattr(packing, "BROADCAST", 3)
     rows = [(k, 7) for k in range(300)] + [(1000, 0), (1001, None), (1002, 25), (1003, 10), (1003, 10), (1004, 3)]
     df = spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint").selectExpr("*", "1 as container_id", "2 as _n")
     out = packing.pack(df, 10).toPandas()

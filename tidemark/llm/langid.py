@@ -30,7 +30,7 @@ from tidemark.llm.sampling import bounded_sample
 TRAIN_ROWS, ROUNDS = 6000, 3
 PROFILE, MOST, MIN_LETTERS = 1200, 1200, 20
 FOREIGN_MARGIN = 0.18
-SLOT_BITS = 16
+SLOT_BITS, ROW_BITS, COUNT_BITS = 16, 17, 27
 
 # fixed values: three-letter codes (both forms of ISO 639-2), English names and stand-ins of labels
 THREE_LETTERS = {
@@ -81,14 +81,32 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Profiles:
-    """langs; for each known n-gram, by a slot of its hash, its rank in each language's profile."""
+    """langs; for each known n-gram its rank in each language's profile. An n-gram whose slot is taken goes to the next table, by other bits of its hash."""
 
     def __init__(self, langs: list[str], hashes: np.ndarray, ranks: np.ndarray):
         self.langs, self.ranks = langs, np.vstack([np.full((1, len(langs)), MOST, np.int32), ranks.astype(np.int32)])
-        self.keys = np.zeros(1 << SLOT_BITS, np.uint64)
-        self.row = np.zeros(1 << SLOT_BITS, np.int32)
-        self.keys[hashes >> np.uint64(40 - SLOT_BITS)] = hashes
-        self.row[hashes >> np.uint64(40 - SLOT_BITS)] = np.arange(1, len(hashes) + 1)
+        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
+        left, rows = hashes, np.arange(1, len(hashes) + 1)
+        while len(left):
+            keys, row = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.int32)
+            slot, first = np.unique(self._slots(left, len(self.tables)), return_index=True)
+            keys[slot], row[slot] = left[first], rows[first]
+            self.tables.append((keys, row))
+            rest = np.ones(len(left), bool)
+            rest[first] = False
+            left, rows = left[rest], rows[rest]
+
+    @staticmethod
+    def _slots(h: np.ndarray, number: int) -> np.ndarray:
+        return ((tc.mix(h + np.uint64(number)) if number else h) >> np.uint64(40 - SLOT_BITS)).astype(np.int64) & ((1 << SLOT_BITS) - 1)
+
+    def row_of(self, h: np.ndarray) -> np.ndarray:
+        """Row in ranks of each n-gram, 0 for those that no profile knows."""
+        found = np.zeros(len(h), np.int64)
+        for number, (keys, row) in enumerate(self.tables):
+            slot = self._slots(h, number)
+            found = np.where(keys[slot] == h, row[slot], found)
+        return found
 
     def distances(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Out-of-place distance of each text to each language; letters of each text."""
@@ -96,16 +114,16 @@ class Profiles:
         total = np.zeros((len(texts), len(self.langs)), np.int64)
         if len(keys):
             owner, h = keys >> np.uint64(40), keys & np.uint64((1 << 40) - 1)
-            slot = (h >> np.uint64(40 - SLOT_BITS)).astype(np.int64)
-            row = np.where(self.keys[slot] == h, self.row[slot], 0)
+            row = self.row_of(h)
             # by text, then falling count; known n-grams before unknown ones of the same count
-            order = (owner << np.uint64(40)) | ((np.uint64(4095) - np.minimum(counts, 4095).astype(np.uint64)) << np.uint64(24)) | np.where(row > 0, row, (1 << 24) - 1).astype(np.uint64)
+            last = (1 << ROW_BITS) - 1
+            order = (owner << np.uint64(ROW_BITS + COUNT_BITS)) | ((np.uint64((1 << COUNT_BITS) - 1) - counts.astype(np.uint64)) << np.uint64(ROW_BITS)) | np.where(row > 0, row, last).astype(np.uint64)
             order.sort()
-            owner = (order >> np.uint64(40)).astype(np.int64)
+            owner = (order >> np.uint64(ROW_BITS + COUNT_BITS)).astype(np.int64)
             starts = np.searchsorted(owner, np.arange(len(texts)))
             rank = np.arange(len(order)) - starts[owner]
-            row = (order & np.uint64((1 << 24) - 1)).astype(np.int64)
-            known = (row < (1 << 24) - 1) & (rank < MOST)
+            row = (order & np.uint64(last)).astype(np.int64)
+            known = (row < last) & (rank < MOST)
             row, rank, owner = row[known], rank[known], owner[known]
             away = np.abs(self.ranks[row] - rank[:, None].astype(np.int32))
             away[self.ranks[row] >= MOST] = MOST
@@ -138,11 +156,7 @@ def fit(texts: list[str], labels: list[str]) -> Profiles:
     for k, counter in enumerate(by_lang):
         for r, (h, _) in enumerate(sorted(counter.items(), key=lambda x: (-x[1], x[0]))[:PROFILE]):
             rank_of[h][k] = r
-    taken, chosen = set(), []
-    for h in sorted(rank_of, key=lambda h: min(rank_of[h].values())):  # of n-grams in the same slot, the more frequent one stays
-        if h >> (40 - SLOT_BITS) not in taken:
-            taken.add(h >> (40 - SLOT_BITS))
-            chosen.append(h)
+    chosen = sorted(rank_of, key=lambda h: (min(rank_of[h].values()), h))
     ranks = np.array([[rank_of[h].get(k, MOST) for k in range(len(langs))] for h in chosen], np.int32).reshape(len(chosen), len(langs))
     return Profiles(langs, np.array(chosen, np.uint64), ranks)
 

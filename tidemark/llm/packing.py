@@ -4,7 +4,8 @@ The plan is made over counts, not documents: lengths from the longest down are p
 container whose free space fits best; a kind that is used up only in part is split. The histogram has at most
 `capacity` rows and the plan is bounded by the number of lengths, so both fit on the driver at any corpus size.
 Documents then take the planned slots by their rank within their length. The rank is made in two levels (salt within
-length, then row within salt), so that a length that a third of all documents share is no single task.
+length, then row within salt), with as many salts as a length needs for sorts of about SORTED items, so that a length that a third of all
+documents share is no single task. The plan is broadcast only if it has at most BROADCAST slots, and joined by length otherwise.
 
 Items longer than the capacity fill whole containers of their own and leave a remainder that is packed like any other
 item. Items without tokens take no space and are spread over the containers. Repeated ids are separate items.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.checkpoints import cut
 from tidemark.llm.tokenizer import VOCABULARY, token_counts
 
-SALTS = 64
+SORTED, BROADCAST = 100_000, 200_000  # items of one length that are sorted together; slots of the plan that are sent to every executor
 
 
 def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
@@ -80,22 +81,19 @@ def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str
     cap = F.lit(capacity).cast("bigint")
     whole = F.greatest(F.ceil(F.col("_n") / cap), F.lit(1))
     pieces = base.select("_id", F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), whole - 1), lambda k: F.struct(k.cast("int").alias("piece_no"), (k * cap).alias("token_start"), F.least(F.col("_n") - k * cap, cap).alias("_size")))).alias("p")).select("_id", "p.*")
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("_id", "piece_no"), F.lit(SALTS)).cast("int"))
-    counts = salted.groupBy("_size", "_salt").count()
-    rows = counts.collect()  # at most (capacity + 1) * SALTS rows
-    histogram: dict[int, int] = defaultdict(int)
-    before: list[tuple[int, int, int]] = []
-    for size, salt, count in sorted((r["_size"], r["_salt"], r["count"]) for r in rows):
-        before.append((size, salt, histogram[size]))
-        histogram[size] += count
+    table = lambda data, names: spark.createDataFrame(pd.DataFrame(data, columns=names, dtype="int64"), ", ".join(f"{c} bigint" for c in names))
+    histogram = {r["_size"]: r["count"] for r in pieces.groupBy("_size").count().collect()}  # at most capacity + 1 rows
+    salts = F.broadcast(table([(size, -(-count // SORTED)) for size, count in histogram.items()], ["_size", "_salts"]))  # as many
+    salted = pieces.join(salts, "_size").withColumn("_salt", F.pmod(F.xxhash64("_id", "piece_no"), "_salts")).drop("_salts")
     empty = histogram.pop(0, 0)
     slots, containers = plan(histogram, capacity)
     if empty:
         slots.append((0, 0, empty - 1, 0))  # items without tokens go round all containers
-    table = lambda data, names: spark.createDataFrame(pd.DataFrame(data, columns=names, dtype="int64"), ", ".join(f"{c} bigint" for c in names))
-    # both tables are bounded by the capacity, not by the corpus
-    offsets = F.broadcast(table(before, ["_size", "_salt", "_before"]))
-    planned = F.broadcast(table(slots, ["_size", "_first", "_last", "_container"]))
+    before = F.sum("count").over(Window.partitionBy("_size").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = salted.groupBy("_size", "_salt").count().select("_size", "_salt", F.coalesce(before, F.lit(0)).alias("_before"))
+    planned = table(slots, ["_size", "_first", "_last", "_container"])
+    if len(slots) <= BROADCAST:
+        planned = F.broadcast(planned)
     within = F.row_number().over(Window.partitionBy("_size", "_salt").orderBy("_id", "piece_no"))
     ranked = salted.withColumn("_row", within.cast("bigint")).join(offsets, ["_size", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_row") - 1)
     placed = ranked.join(planned, (ranked["_size"] == planned["_size"]) & F.col("_rank").between(F.col("_first"), F.col("_last"))).drop(planned["_size"])

@@ -1,8 +1,8 @@
 """Problem 9: cutting oversized texts at natural boundaries.
 
 Balanced targets: the least number of pieces that the limit and the overlap allow, targets of equal length, each moved
-to the strongest boundary within reach (the nearest of equals); where a piece would break the limit, the text gets one
-piece more. Consecutive pieces share exactly `overlap` tokens: a piece starts so many tokens before the last cut.
+to the strongest boundary within reach (the nearest of equals); where the limit leaves a cut none, the rest of the text gets
+one piece more. Consecutive pieces share exactly `overlap` tokens: a piece starts so many tokens before the last cut.
 
 Boundaries, from strong to weak: blank line, line end, sentence end, clause end, white space, script or sign change;
 a text without any of these within reach is cut between tokens, at the end of a character where one ends within reach.
@@ -61,29 +61,28 @@ def strengths(cps: np.ndarray) -> np.ndarray:
 def cuts(n: int, rank: np.ndarray, limit: int, overlap: int) -> list[int]:
     """Ends of the pieces in tokens. rank[k]: how strong the boundary before token k is (low is strong), 8 if inside a character.
 
-    A count of pieces fails where the limit leaves a cut no natural boundary although one is near its target, or no end of a
-    character; as long as that is so, the text gets one piece more, up to half as many again.
+    A cut fails where the limit leaves it no natural boundary although one is near its target, or no end of a character. It is then placed
+    earlier, at the strongest boundary of the second half of its piece, the rest gets one piece more and new balanced targets; up to half as many
+    pieces again. Each place is looked at a bounded number of times, so that long texts cost in proportion.
     """
-    least = max(1, -(-(n - overlap) // (limit - overlap)))
-    for count in range(least, least + least // 2 + 2):
-        if ends := _placed(n, rank, limit, overlap, count, True):
-            return ends
-    return _placed(n, rank, limit, overlap, least, False)
-
-
-def _placed(n: int, rank: np.ndarray, limit: int, overlap: int, count: int, natural: bool) -> list[int]:
-    step, reach, at, ends = limit - overlap, max(1, n // count // 4), 0, []
-    for k in range(1, count):
-        target = round(n * k / count)
-        low = max(at + 1, n - (count - k) * step, target - reach)
+    step, at, ends = limit - overlap, 0, []
+    left = max(1, -(-(n - overlap) // step))
+    spare = left // 2 + 1
+    while left > 1:
+        target, reach = at + round((n - at) / left), max(1, (n - at) // left // 4)
         high = min(max(0, at - overlap) + limit, n - 1, target + reach)
+        low = min(max(at + 1, n - (left - 1) * step, target - reach), high)
         window = rank[low : high + 1]
+        near = rank[max(target - reach, at + 1) : target + reach + 1].min()
+        if spare and window.min() > max(WEAKEST, near) and (near <= WEAKEST or window.min() == INSIDE):
+            earlier = rank[max(at + 1, at + step // 2) : high + 1]
+            if len(earlier) and earlier.min() < window.min():
+                low, window, left, spare = max(at + 1, at + step // 2), earlier, left + 1, spare - 1
+                target = min(target, high)
         best = np.flatnonzero(window == window.min()) + low
-        near = rank[max(target - reach, 1) : target + reach + 1].min()
-        if natural and window.min() > max(WEAKEST, near) and (near <= WEAKEST or window.min() == INSIDE):
-            return []
         at = int(best[np.argmin(np.abs(best - target))])
         ends.append(at)
+        left -= 1
     return [*ends, n]
 
 

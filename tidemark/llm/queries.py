@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": recode.p6_found,
     "p6_restored": recode.p6_restored,
     "p7_ids": tokenizer.p7_ids,
+    "p7_spans": tokenizer.p7_spans,
     "p8_pack": packing.p8_pack,
     "p8_fill": packing.p8_fill,
     "p9_found": pieces.p9_found,

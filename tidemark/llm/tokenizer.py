@@ -174,8 +174,9 @@ class Coder:
         """The number of ids of each text."""
         return np.concatenate([self._chunk(texts[a:b], False)[1] for a, b in tc.chunks(texts)] or [np.zeros(0, np.int64)])
 
-    def _chunk(self, texts: list[str], wanted: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        whole, _, ends = tc.joined(texts)
+    def _slices(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(entries of the cache, starts, first slice of each text, places of the texts) of all slices, in code points."""
+        whole, begins, ends = tc.joined(texts)
         cps = tc.codes(whole)
         cls = tc.class_table()[cps]
         cls[ends] = tc.BREAK
@@ -183,12 +184,29 @@ class Coder:
         stop = np.append(at[1:], len(cps))
         real = cls[at] != tc.BREAK
         owner = np.searchsorted(at, ends) - np.arange(len(ends))  # slices up to the end of each text
-        entry = self._entries(whole, cps, at[real], stop[real])
+        return self._entries(whole, cps, at[real], stop[real]), at[real], owner, begins
+
+    def _chunk(self, texts: list[str], wanted: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        entry, _, owner, _ = self._slices(texts)
         sizes = self.count[entry].astype(np.int64)
         upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])[owner]
         counts = np.diff(upto, prepend=0)
         return self.ids[tc.ragged(self.first[entry], sizes)] if wanted else np.zeros(0, np.int32), counts
 
+    def spans(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each text's ids end; where each slice starts in its text and how many of its text's ids come before it, where each text's slices end)."""
+        entry, starts, owner, begins = self._slices(texts)
+        sizes = self.count[entry].astype(np.int64)
+        upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+        of = np.repeat(np.arange(len(texts)), np.diff(owner, prepend=0))
+        first = np.concatenate([np.zeros(1, np.int64), upto[owner]])[:-1]
+        return self.ids[tc.ragged(self.first[entry], sizes)], upto[owner], (starts - begins[of]).astype(np.int32), (upto[:-1] - first[of]).astype(np.int32), owner
+
+    def text(self, ids: list[int]) -> str:
+        if not hasattr(self, "pieces"):
+            self.pieces = {rank: piece for piece, rank in self.ranks.items()}
+        return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
+
 
 def coder(raw: bytes) -> Coder:
     """One coder in each Python worker."""
@@ -229,10 +247,42 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, n_tokens bigint").withColumnRenamed("_id", id_col)
 
 
+def encode_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
+    """(id, ids, slice_starts, slice_ids): with the ids where each slice starts in the text, in characters, and how many ids come before it. A part of a
+    text is decoded by the ids of its slices alone, and a token is found in the text by its slice."""
+    raw = df.sparkSession.sparkContext.broadcast(vocabulary(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, texts = batch.column(0), _texts(batch.column(1))
+            for a, b in tc.chunks(texts):
+                ids, ends, starts, before, owner = coder(raw.value).spans(texts[a:b])
+                lists = lambda upto, values: pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(1), upto]).astype(np.int32)), pa.array(values))
+                yield pa.RecordBatch.from_arrays([key[a:b], lists(ends, ids), lists(owner, starts), lists(owner, before)], ["_id", "ids", "slice_starts", "slice_ids"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, ids array<int>, slice_starts array<int>, slice_ids array<int>").withColumnRenamed("_id", id_col)
+
+
+def decode_column(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str = VOCABULARY) -> DataFrame:
+    """(id, text): the text of each list of ids; null or empty lists give an empty text. Bytes that are no UTF-8, at a cut inside a character, show as U+FFFD."""
+    raw = df.sparkSession.sparkContext.broadcast(vocabulary(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([coder(raw.value).text(x or []) for x in batch.column(1).to_pylist()], pa.string())], ["_id", "text"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(F.col(id_col).alias("_id"), F.col(ids_col).alias("_ids")).mapInArrow(run, f"_id {kind}, text string").withColumnRenamed("_id", id_col)
+
+
 def decode(ids: list[int], path: str = VOCABULARY) -> str:
-    pieces = {int(b): base64.b64decode(a) for a, b in map(bytes.split, vocabulary(path).splitlines())}
-    return b"".join(pieces[i] for i in ids).decode("utf-8", "replace")
+    return coder(vocabulary(path)).text(ids)
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_column(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_spans(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
