@@ -100,7 +100,7 @@ def test_summaries_equal_a_plain_model(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string").selectExpr("*", "1 as i", "2 as rank")
     got = {r["id"]: r["summary"] for r in summarize.extractive(df, "id", "text", Config()).collect()}
     assert got == {k: plain_summary(t or "") for k, t in enumerate(texts)}
-    merged = {r[0]: r[1] for r in df.select("id", summarize.merged_array(df["text"])).collect()}
+    merged = {r[0]: r[1] for r in df.select("id", summarize.merged_sentences(df["text"])).collect()}
     rows = {}
     for r in summarize.sentences(df, "id", "text").orderBy("id", "i").collect():
         rows.setdefault(r["id"], []).append(r["sentence"])

@@ -8,8 +8,11 @@ import signal
 import threading
 import time
 from dataclasses import replace
+from functools import partial
+from logging.handlers import RotatingFileHandler
 
-from pyspark.sql.functions import lit
+from pyspark.sql import SparkSession
+from pyspark.sql.functions import explode, lit
 
 from tidemark.config import Config
 from tidemark.operators.deliver import today
@@ -17,9 +20,8 @@ from tidemark.operators.discover import proposed, recipients
 from tidemark.plans import pipeline
 from tidemark.session import local
 from tidemark.sources.fetch import Fetcher, HttpFetcher, fetched, url_list
-from tidemark.sources.models import Model
-from tidemark.sources.sinks import append_json, delivered
-
+from tidemark.sources.models import Model, from_config, summary_prompt, translation_prompt
+from tidemark.sources.sinks import append_json, delivered, smtp_from
 
 PAGE_COLUMNS = ("ord", "url", "final_url", "status_code", "content_type", "html", "error")
 
@@ -34,35 +36,52 @@ def arguments(given: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--once", action="store_true")
     p.add_argument("--audit", default="audit.jsonl")
     p.add_argument("--log-level", default="INFO")
+    p.add_argument("--log-file", help="log file, of which a few generations are kept")
     return p.parse_args(given)
 
 
 def main(given: list[str] | None = None, model: Model | None = None, fetcher: Fetcher | None = None) -> int:
     args, config, stop = arguments(given), Config.from_env(), threading.Event()
     config = replace(config, max_articles=args.max_articles) if args.max_articles else config
-    fetcher = fetcher or HttpFetcher()
-    logging.basicConfig(level=args.log_level.upper())
+    fetcher, model = fetcher or HttpFetcher(), model or from_config(config)
+    handlers = [logging.StreamHandler(), *([RotatingFileHandler(args.log_file, maxBytes=5_000_000, backupCount=5, encoding="utf-8")] if args.log_file else [])]
+    logging.basicConfig(level=args.log_level.upper(), handlers=handlers, format="%(asctime)s %(levelname)s %(name)s: %(message)s")
     if threading.current_thread() is threading.main_thread():
         for s in (signal.SIGINT, signal.SIGTERM):
             signal.signal(s, lambda *_: stop.set())
     spark = local()
     while True:
         began = time.monotonic()
-        if args.interests:
-            found = proposed(spark.createDataFrame([(args.interests,)], "t string"), "t", config, model, fetcher)
-        else:
-            found = url_list(spark, args.urls)
-        pages = spark.read.parquet(args.pages) if args.pages else fetched(found, fetcher).select(*PAGE_COLUMNS)
-        pages = pages.persist()
-        digest = pipeline.run(pages, config, today(config))
+        try:
+            cycle(spark, args, config, model, fetcher)
+        except Exception:
+            logging.exception("the cycle failed")
+            if args.once:
+                return 1
+        if args.once or stop.wait(max(0.0, args.interval - (time.monotonic() - began))):
+            return 0
+
+
+def cycle(spark: SparkSession, args: argparse.Namespace, config: Config, model: Model | None, fetcher: Fetcher) -> dict[str, list]:
+    """One run: pages, digest, audit, mails."""
+    if args.interests:
+        found = proposed(spark.createDataFrame([(args.interests,)], "t string"), "t", config, model, fetcher)
+    else:
+        found = url_list(spark, args.urls)
+    pages = (spark.read.parquet(args.pages) if args.pages else fetched(found, fetcher).select(*PAGE_COLUMNS)).persist()
+    digest = None
+    try:
+        summarizer, translator = from_config(config, partial(summary_prompt, bullets=config.bullets)), from_config(config, partial(translation_prompt, polite=config.polite))
+        digest = pipeline.run(pages, config, today(config), fetcher if not args.pages else None, summarizer, translator)
         append_json(digest.audit, args.audit)
-        to = [r[0] for r in spark.range(1).selectExpr("0").select(recipients(lit(config.recipients)).alias("r")).selectExpr("explode(r)").collect()]
-        done = delivered(digest.mails, to, config, time.strftime("%Y%m%d-%H%M%S"))
+        to = [r[0] for r in spark.range(1).select(explode(recipients(lit(config.recipients)))).collect()]
+        done = delivered(digest.mails, to, config, time.strftime("%Y%m%d-%H%M%S"), smtp_from(config))
         logging.info("sent %d, saved %d", len(done["sent"]), len(done["saved"]))
-        digest.release()
+        return done
+    finally:
+        if digest:
+            digest.release()
         pages.unpersist()
-        if args.once or stop.wait(max(0.0, args.interval - (time.monotonic() - began))):
-            return 0
 
 
 if __name__ == "__main__":

@@ -50,11 +50,18 @@ class Config:
     dry_run: bool = False
     save_preview: bool = True
     outbox: str = "outbox"
+    smtp_host: str = ""
+    smtp_port: int = 587
+    smtp_user: str = ""
+    smtp_password: str = ""
+    model_url: str = ""
+    model_name: str = ""
+    model_key: str = ""
 
     @classmethod
     def from_env(cls, prefix: str = "TIDEMARK_", env: dict[str, str] | None = None) -> Config:
         """Defaults, overridden by TIDEMARK_<FIELD>; lists are separated by commas."""
-        env = dict(os.environ) if env is None else env
+        env = env_file() | dict(os.environ) if env is None else env
         given = {}
         for f in fields(cls):
             if (raw := env.get(prefix + f.name.upper())) is not None:
@@ -66,6 +73,15 @@ class Config:
         return max(1, self.max_articles) * max(1, self.over_fetch)
 
 
+def env_file(path: str = ".env") -> dict[str, str]:
+    """KEY=VALUE lines of a file, if there is one; the environment goes before it."""
+    if not os.path.isfile(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        pairs = (line.strip().removeprefix("export ").partition("=") for line in f if "=" in line and not line.lstrip().startswith("#"))
+        return {k.strip(): v.strip().strip("\"'") for k, _, v in pairs}
+
+
 def parse(raw: str, like: object) -> object:
     """The text as a value of the same type as `like`; what is no number leaves the default."""
     if isinstance(like, bool):

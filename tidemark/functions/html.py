@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import let
 
+# fixed values: tags that are left out, and what marks the main part
 DROPPED = frozenset({"script", "style", "noscript", "nav", "footer", "header", "form", "aside"})
 VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"})
 CANDIDATE_CLASSES = frozenset({"content", "article", "post"})
@@ -137,13 +138,13 @@ def first_extracted(page: str | None, chain: list) -> tuple[str | None, str | No
     return None, None, None
 
 
-def extracted(page: Column, chain: list | None = None) -> Column:
-    """struct(title, body, extractor) of the first extractor that finds a text; nulls where none does."""
+def extracted(page: Column, chain: list | None = None, raw: bool = False) -> Column:
+    """struct(title, body, extractor) of the first extractor that finds a text; nulls where none does. raw: pages are normalized in the same pass."""
     fixed = list(EXTRACTORS if chain is None else chain)
 
     @F.pandas_udf("title string, body string, extractor string")
     def run(pages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([first_extracted(p, fixed) for p in pages], columns=["title", "body", "extractor"])
+        return pd.DataFrame([first_extracted(normalize(p) if raw and p is not None else p, fixed) for p in pages], columns=["title", "body", "extractor"])
 
     return run(page)
 
@@ -165,8 +166,13 @@ def normalized(page: Column) -> Column:
 
 
 def head(page: Column, size: int) -> Column:
-    """The first bytes of a page, as sent."""
-    return F.substring(F.encode(page, "UTF-8"), 1, size)
+    """The first bytes of a page, as sent: no more characters than bytes are encoded."""
+    return F.substring(F.encode(F.substring(page, 1, size), "UTF-8"), 1, size)
+
+
+def shown_head(page: Column, size: int) -> Column:
+    """The first bytes of a page as Latin-1 characters, so that a cut in a character does no harm."""
+    return F.decode(head(page, size), "ISO-8859-1")
 
 
 def is_html_type(content_type: Column, types: tuple[str, ...]) -> Column:
@@ -184,12 +190,19 @@ def mentions_html_type(content_type: Column) -> Column:
 
 
 def looks_like_html(page: Column, size: int) -> Column:
-    return F.decode(head(page, size), "ISO-8859-1").rlike("(?i)<!doctype html|<html")
+    return html_signs(shown_head(page, size))
+
+
+def html_signs(shown: Column) -> Column:
+    return shown.rlike("(?i)<!doctype html|<html")
 
 
 def metrics(page: Column, head_bytes: int, least_text: int, least_ratio: float) -> Column:
-    """Length in bytes and share of the text in a page's head, signals of an article, and a score for audits. The text's
-    bytes are seen as Latin-1 characters, so that a cut in a character does no harm."""
+    return metrics_of(shown_head(page, head_bytes), least_text, least_ratio)
+
+
+def metrics_of(shown: Column, least_text: int, least_ratio: float) -> Column:
+    """Length in bytes and share of the text in a page's head (see shown_head), signals of an article, and a score for audits."""
     def measured(raw: Column) -> Column:
         bare = F.trim(F.regexp_replace(F.regexp_replace(raw, "<[^>]+>", " "), "[ \\t\\n\\r\\f\\x0B]+", " "))
         return F.struct(
@@ -203,4 +216,4 @@ def metrics(page: Column, head_bytes: int, least_text: int, least_ratio: float)
         score = points(m["size"] >= least_text, 2) + points(share >= least_ratio, 1) + points(m["jsonld"], 3) + points(m["article"], 2) + points(m["time"], 1) + points(m["title"], 1)
         return F.struct(m["size"].alias("text_len"), F.round(share, 4).alias("text_ratio"), m["title"].alias("has_title"), m["article"].alias("has_article"), m["time"].alias("has_time"), m["jsonld"].alias("has_jsonld"), score.cast("int").alias("score_hint"))
 
-    return let(let(F.decode(head(page, head_bytes), "ISO-8859-1"), measured), described)
+    return let(let(shown, measured), described)

@@ -44,6 +44,7 @@ def rendered(df: DataFrame, item_col: str, date: str, config: Config, ord_col: s
     """(part, total_parts, subject, plain, html), items in order. No rows for no items."""
     rows = chunked(df.select(F.col(ord_col).alias("ord"), F.col(item_col).alias("item")), config.items_per_mail)
     parts = rows.groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "item"))), lambda x: x["item"]).alias("items"))  # a part has at most items_per_mail
-    total = parts.agg(F.max("part").alias("total_parts"))
+    size = config.items_per_mail
+    total = df.agg(F.greatest(F.ceil(F.count("*") / size) if size > 0 else F.lit(1), F.lit(1)).cast("int").alias("total_parts"))  # counted, not built
     both = parts.join(F.broadcast(total))  # one row
     return both.select("part", "total_parts", subject(F.col("part"), F.col("total_parts"), date, config).alias("subject"), plain_body(F.col("items"), config).alias("plain"), html_body(F.col("items"), config).alias("html"))

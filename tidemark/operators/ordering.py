@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 100_000
+BLOCKS = 64
 
 
 def first_of(df: DataFrame, *keys: str, ord_col: str = "ord") -> DataFrame:
@@ -25,10 +25,13 @@ def limited(df: DataFrame, n: int, ord_col: str = "ord") -> DataFrame:
 
 
 def numbered(df: DataFrame, name: str = "n", ord_col: str = "ord") -> DataFrame:
-    """The place of each row in input order, from 0. Ranks within blocks of `ord` and sums over the block counts: no task sees all rows."""
-    blocks = df.withColumn("_b", F.floor(F.col(ord_col) / BLOCK))
-    counts = blocks.groupBy("_b").agg(F.count("*").alias("_c"))  # one row per BLOCK values of ord
-    before = counts.select("_b", (F.sum("_c").over(Window.orderBy("_b")) - F.col("_c")).alias("_before"))
+    """The place of each row in input order, from 0. Ranks within BLOCKS ranges of about as many rows each, however `ord` is spread, and sums
+    over their counts: no task sees all rows."""
+    shares = F.array(*[F.lit(k / BLOCKS) for k in range(1, BLOCKS)])
+    bounds = F.broadcast(df.agg(F.percentile_approx(ord_col, shares, 10 * BLOCKS).alias("_bounds")))  # one row
+    blocks = df.join(bounds).withColumn("_b", F.size(F.filter(F.coalesce("_bounds", F.array().cast("array<bigint>")), lambda x: x < F.col(ord_col)))).drop("_bounds")
+    counts = blocks.groupBy("_b").agg(F.count("*").alias("_c"))  # BLOCKS rows at most
+    before = F.broadcast(counts.select("_b", (F.sum("_c").over(Window.orderBy("_b")) - F.col("_c")).alias("_before")))
     within = F.row_number().over(Window.partitionBy("_b").orderBy(ord_col)) - 1
     return blocks.withColumn("_w", within).join(before, "_b").withColumn(name, F.col("_before") + F.col("_w")).drop("_b", "_w", "_before")
 

@@ -15,7 +15,7 @@ COLUMNS = ("ord", "input_url", "resolved_url", "status_code", "content_type", "e
 
 def _read(pages: DataFrame, chain: list | None) -> DataFrame:
     usable = html.mentions_html_type(F.col("content_type")) & F.col("html").isNotNull() & F.col("error").isNull()
-    return pages.withColumn("_page", F.when(usable, F.col("html"))).withColumn("_got", html.extracted(html.normalized(F.col("_page")), chain))
+    return pages.withColumn("_page", F.when(usable, F.col("html"))).withColumn("_got", html.extracted(F.col("_page"), chain, raw=True))
 
 
 def scraped(pages: DataFrame, config: Config, fetcher: Fetcher | None = None, chain: list | None = None) -> DataFrame:

@@ -1,20 +1,24 @@
 """Stage E: sentences, their rank by term frequency, and extractive summaries.
 
-Everything is one chain of exploded rows and windows by text; a sentence's ideographs belong to it alone, so frequencies
-need no join of texts with themselves.
+A text's sentences depend on that text alone: they are cut, glued and ranked row by row, in Arrow batches, and nothing is exchanged.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections import Counter
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import Config
 from tidemark.functions.lang import HAN
-from tidemark.functions.text import LINE_ENDS, clip, strip
+from tidemark.functions.text import BLANKS, LINE_ENDS, clip, strip
 from tidemark.sources.models import Model, answered
 
 SHORT_SENTENCE, TITLE_CHARS, LAST_RESORT = 12, 80, 400
+_ENDS, _HAN = re.compile("(?<=[。！？!?\n])"), re.compile(HAN)
 
 
 def sentence_array(text: Column) -> Column:
@@ -23,45 +27,57 @@ def sentence_array(text: Column) -> Column:
     return F.filter(F.transform(parts, strip), lambda s: F.length(s) > 0)
 
 
-def merged_array(text: Column) -> Column:
-    """Sentences of fewer than 12 characters belong to the one before, glued without a blank."""
-    def step(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        glued = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(strip(F.concat(last, s))))
-        return F.when((F.size(done) > 0) & (F.length(s) < SHORT_SENTENCE), glued).otherwise(F.concat(done, F.array(s)))
+def _merged(text: str) -> list[str]:
+    """The sentences; those of fewer than 12 characters belong to the one before, glued without a blank."""
+    out: list[str] = []
+    for s in _ENDS.split(text):
+        s = s.strip(BLANKS)
+        if out and s and len(s) < SHORT_SENTENCE:
+            out[-1] += s
+        elif s:
+            out.append(s)
+    return [s.strip(BLANKS) for s in out]
+
+
+def _scored(text: str) -> list[tuple[int, str, float]]:
+    """(i, sentence, score): the sum of the text's counts of its ideographs, x 0.6 for fewer than 15 characters, x 0.8 for more than 120."""
+    rows = _merged(text)
+    found = [_HAN.findall(s) for s in rows]
+    counts = Counter(c for x in found for c in x)
+    return [(i, s, sum(counts[c] for c in x) * (0.6 if len(s) < 15 else 0.8 if len(s) > 120 else 1.0)) for i, (s, x) in enumerate(zip(rows, found))]
+
+
+def merged_sentences(text: Column) -> Column:
+    """array<string> of a text's sentences, short ones glued to the one before."""
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else _merged(t) for t in texts], dtype=object)
+
+    return run(text)
+
 
-    return F.aggregate(sentence_array(text), F.array().cast("array<string>"), step)
+def best_sentences(text: Column, top: int) -> Column:
+    """array<struct<rank, i, sentence, score>> of a text's best sentences; earlier ones first among equals."""
+    @F.pandas_udf("array<struct<rank:int,i:int,sentence:string,score:double>>")
+    def run(texts: pd.Series) -> pd.Series:
+        def best(t: str) -> list[dict]:
+            chosen = sorted(_scored(t), key=lambda x: (-x[2], x[0]))[:top]
+            return [{"rank": k + 1, "i": i, "sentence": s, "score": float(n)} for k, (i, s, n) in enumerate(chosen)]
 
+        return pd.Series([None if t is None else best(t) for t in texts], dtype=object)
 
-def _merged_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, i, s): merged sentences, by a running count of the sentences that start one; linear in the text's length."""
-    raw = df.select(F.col(id_col).alias("_id"), F.posexplode(sentence_array(F.col(text_col))).alias("k", "s"))
-    w = Window.partitionBy("_id").orderBy("k")
-    starts = F.when((F.row_number().over(w) == 1) | (F.length("s") >= SHORT_SENTENCE), 1).otherwise(0)
-    grouped = raw.withColumn("b", starts).withColumn("g", F.sum("b").over(w) - 1)
-    glued = grouped.groupBy("_id", "g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]), "").alias("s"))
-    return glued.select("_id", F.col("g").cast("int").alias("i"), strip(F.col("s")).alias("s"))
+    return run(text)
 
 
 def sentences(df: DataFrame, id_col: str, text_col: str, merge: bool = True) -> DataFrame:
-    """(id, i, sentence), numbered from 0. Null and blank texts have no rows; ids must be unique for merged ones."""
-    if merge:
-        return _merged_rows(df, id_col, text_col).select(F.col("_id").alias(id_col), "i", F.col("s").alias("sentence"))
-    return df.select(id_col, F.posexplode(sentence_array(F.col(text_col))).alias("i", "sentence"))
+    """(id, i, sentence), numbered from 0. Null and blank texts have no rows; repeated ids are cut separately."""
+    parts = merged_sentences(F.col(text_col)) if merge else sentence_array(F.col(text_col))
+    return df.select(id_col, F.posexplode(parts).alias("i", "sentence"))
 
 
 def ranked(df: DataFrame, id_col: str, text_col: str, top: int) -> DataFrame:
-    """(id, rank, i, sentence, score) of the best sentences: the sum of the text's counts of their ideographs, x 0.6 for fewer than 15
-    characters, x 0.8 for more than 120; earlier ones first among equals."""
-    rows = _merged_rows(df, id_col, text_col)
-    chars = rows.select("_id", "i", F.explode(F.regexp_extract_all("s", F.lit(f"({HAN})"), 1)).alias("c")).groupBy("_id", "i", "c").agg(F.count("*").alias("here"))
-    total = F.sum("here").over(Window.partitionBy("_id", "c"))
-    sums = chars.withColumn("n", F.col("here") * total).groupBy("_id", "i").agg(F.sum("n").alias("n"))
-    size = F.length("s")
-    weight = F.when(size < 15, 0.6).when(size > 120, 0.8).otherwise(1.0)
-    scored = rows.join(sums, ["_id", "i"], "left").withColumn("score", F.coalesce("n", F.lit(0)).cast("double") * weight)
-    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("_id").orderBy(F.desc("score"), "i"))).filter(F.col("rank") <= top)
-    return best.select(F.col("_id").alias(id_col), "rank", "i", F.col("s").alias("sentence"), "score")
+    """(id, rank, i, sentence, score) of the best sentences."""
+    return df.select(id_col, F.explode(best_sentences(F.col(text_col), top)).alias("x")).select(id_col, "x.*")
 
 
 def extractive(df: DataFrame, id_col: str, text_col: str, config: Config) -> DataFrame:
@@ -72,9 +88,8 @@ def extractive(df: DataFrame, id_col: str, text_col: str, config: Config) -> Dat
     titled = (F.size("_lines") > 0) & (F.length(F.get("_lines", F.lit(0))) <= TITLE_CHARS)
     rest = F.when(titled, F.slice("_lines", F.lit(2), F.size("_lines"))).otherwise(F.col("_lines"))
     rows = rows.select("_id", "_text", F.when(titled, F.get("_lines", F.lit(0))).alias("_title"), clip(F.array_join(rest, "\n"), config.summary_chars).alias("_body"))
-    picks = ranked(rows, "_id", "_body", config.bullets).groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("rank", "sentence"))).alias("p"))
-    joined = rows.join(picks, "_id", "left")
-    bullets = F.coalesce(F.array_join(F.transform("p", lambda x: F.concat(F.lit("• "), strip(x["sentence"]))), "\n"), F.lit(""))
+    joined = rows.withColumn("p", best_sentences(F.col("_body"), config.bullets))
+    bullets = F.coalesce(F.array_join(F.transform("p", lambda x: F.concat(F.lit("• "), x["sentence"])), "\n"), F.lit(""))
     summary = F.when(F.col("_title").isNotNull(), F.concat("_title", F.lit("\n"), bullets)).when(bullets != "", bullets).otherwise(clip(F.col("_text"), LAST_RESORT))
     return joined.select(F.col("_id").alias(id_col), F.when(F.length("_text") == 0, "").otherwise(summary).alias("summary"))
 

@@ -15,13 +15,13 @@ def audited(pages: DataFrame, config: Config) -> DataFrame:
     """One row for each page of (ord, url, final_url, status_code, content_type, html, error): input_url, normalized_url, final_url,
     status_code, content_type, decision, reason, metrics. Cheap tests on the URL come first; metrics exist only for HTML.
     The status code is recorded and decides nothing."""
-    rows = pages.withColumn("normalized_url", urls.finalized(F.coalesce("url", F.lit("")), config.strip_amp))
+    rows = pages.withColumn("_head", html.shown_head(F.col("html"), config.head_bytes)).withColumn("normalized_url", urls.finalized(F.coalesce("url", F.lit("")), config.strip_amp))
     bad_scheme = ~urls.is_http(F.col("normalized_url"))
     root = F.lit(False) if config.allow_root_path else urls.is_root(F.col("normalized_url"))
     early = F.when(bad_scheme, "invalid_url_scheme").when(root, "root_like_path").when(F.col("error").isNotNull(), F.concat(F.lit("exception:"), F.col("error")))
-    is_html = html.is_html_type(F.col("content_type"), HTML_TYPES) | html.looks_like_html(F.col("html"), config.sniff_bytes)
+    is_html = html.is_html_type(F.col("content_type"), HTML_TYPES) | html.html_signs(F.substring("_head", 1, config.sniff_bytes))
     rows = rows.withColumn("_early", F.coalesce(early, F.when(~F.coalesce(is_html, F.lit(False)), "non_html_content")))
-    link = urls.canonical_link(F.decode(html.head(F.col("html"), config.head_bytes), "ISO-8859-1"))
+    link = urls.canonical_link(F.col("_head"))
     landed = F.coalesce("final_url", "normalized_url")
     rows = rows.withColumn("_canonical", F.when(F.col("_early").isNull(), link)).withColumn("_landed", landed)
     if config.use_canonical:
@@ -33,7 +33,7 @@ def audited(pages: DataFrame, config: Config) -> DataFrame:
         gate = F.when(m["text_len"] < config.min_text_bytes, "too_short_text").when(m["text_ratio"] < config.min_text_ratio, "too_low_text_ratio").when(silent, "no_article_signals").otherwise("accepted_content_ready")
         return F.struct(m.alias("metrics"), gate.alias("reason"))
 
-    measured = html.metrics(F.coalesce("html", F.lit("")), config.head_bytes, config.min_text_bytes, config.min_text_ratio)
+    measured = html.metrics_of(F.coalesce("_head", F.lit("")), config.min_text_bytes, config.min_text_ratio)
     rows = rows.withColumn("_judged", F.when(F.col("_early").isNull(), let(measured, judged)))
     rows = rows.withColumn("metrics", F.col("_judged.metrics")).withColumn("reason", F.coalesce("_early", "_judged.reason"))
     rows = rows.withColumn("decision", F.when(F.col("reason") == "accepted_content_ready", "accepted").otherwise("filtered"))

@@ -14,6 +14,9 @@ from tidemark.sources.fetch import Fetcher
 from tidemark.sources.models import Model
 
 
+MOST_BROADCAST = 100_000
+
+
 @dataclass(frozen=True)
 class Digest:
     audit: DataFrame
@@ -33,7 +36,9 @@ def run(pages: DataFrame, config: Config, date: str, fetcher: Fetcher | None = N
     on its row; the few accepted ones are joined by `ord`. Blank results stay in their places. What several stages read (the audit
     without pages, the accepted texts, the translations) is kept, on disk where memory is short; release() gives it back."""
     audit = validate.audited(pages, config).persist()
-    kept = pages.join(validate.accepted(audit, config).select("ord"), "ord", "left_semi")
+    chosen = validate.accepted(audit, config).select("ord")
+    # at most max_results keys go to the pages, which then needn't move; without that limit the optimizer decides by size
+    kept = pages.join(F.broadcast(chosen) if 0 < config.max_results <= MOST_BROADCAST else chosen, "ord", "left_semi")
     scrapes = scrape.scraped(kept, config, fetcher).persist()
     tagged = tagging.with_meta(tagging.prepared(scrapes, config), config.chinese_only)
     source = tagged.select("ord", chosen_source(F.col("body"), F.col("text")).alias("source"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import HTML_TYPES, Config
 from tidemark.functions import html, lang, text, urls
-from tidemark.operators import deliver, discover, ordering, summarize, tagging, translate, validate
+from tidemark.operators import deliver, discover, ordering, scrape, summarize, tagging, translate, validate
 from tidemark.plans import fixtures as fx
 from tidemark.plans import oracles, pipeline
 from tidemark.sources.fetch import StoredFetcher, reachable
@@ -44,26 +44,30 @@ def url_finalize(spark: SparkSession, d: str) -> DataFrame:
 
 
 def url_deamp(spark: SparkSession, d: str) -> DataFrame:
-    return fx.frame(spark, fx.URLS, "ord bigint, url string").select("ord", urls.without_amp(F.col("url")).alias("clean"))
+    return _table(spark, d, "scrape_meta").select("scrape_id", urls.without_amp(F.col("input_url")).alias("clean"))
 
 
 def url_repair(spark: SparkSession, d: str) -> DataFrame:
-    return fx.frame(spark, fx.URLS, "ord bigint, url string").select("ord", urls.repaired(F.col("url")).alias("repaired"), urls.finalized(F.col("url")).alias("final"))
+    return _table(spark, d, "candidates").select("cand_id", "discovered_at", urls.repaired(F.col("url")).alias("repaired"), urls.finalized(F.col("url")).alias("final"))
 
 
 def url_canonical_safe(spark: SparkSession, d: str) -> DataFrame:
-    rows = fx.frame(spark, fx.CANONICALS, "ord bigint, base string, canonical string")
-    return rows.select("ord", urls.safe_canonical(F.col("base"), F.col("canonical")).alias("adopted"))
+    """The URL asked for as the canonical link of the page it led to, and the other way round."""
+    a, b = F.col("input_url"), F.col("resolved_url")
+    return _table(spark, d, "scrape_meta").select("scrape_id", urls.safe_canonical(b, a).alias("asked"), urls.safe_canonical(a, b).alias("landed"))
 
 
 def url_quote(spark: SparkSession, d: str) -> DataFrame:
-    return fx.frame(spark, fx.URLS, "ord bigint, url string").select("ord", urls.quoted(F.col("url")).alias("quoted"))
+    """URLs with the title as a last piece, which holds characters beyond ASCII, blanks and quotes."""
+    return _table(spark, d, "scrape_meta").select("scrape_id", urls.quoted(F.concat(F.coalesce("resolved_url", F.lit("")), F.lit("/"), F.coalesce("title", F.lit("")))).alias("quoted"))
 
 
 def root_and_scheme_reject(spark: SparkSession, d: str) -> DataFrame:
+    """Of the URLs as they are and of the sites' roots."""
+    rows = _table(spark, d, "scrape_meta").select("scrape_id", F.explode(F.array(F.col("input_url"), F.regexp_extract("input_url", "^(?:[a-z]+://)?[^/?#]+/?", 0))).alias("url")).filter("url is not null")
     u = urls.finalized(F.col("url"))
     reason = F.when(~urls.is_http(u), "invalid_url_scheme").when(urls.is_root(u), "root_like_path").otherwise("kept")
-    return fx.frame(spark, fx.URLS, "ord bigint, url string").filter("url is not null").select("ord", reason.alias("reason"))
+    return rows.select("scrape_id", "url", reason.alias("reason"))
 
 
 def article_url_flag(spark: SparkSession, d: str) -> DataFrame:
@@ -76,8 +80,11 @@ def whitelist_semi_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def candidates_json(spark: SparkSession, d: str) -> DataFrame:
-    rows = fx.frame(spark, fx.ANSWERS, "ord bigint, raw string")
-    return discover.candidates(rows, "raw", Config(accepted_domains=("example.com", "example.test"))).select("title", "url", "source", "date_iso", "is_article_url")
+    """Candidates as the answers that a model could have given: bare arrays, and arrays in a fenced block after some words."""
+    rows = _table(spark, d, "candidates")
+    array = F.to_json(F.array(F.struct("title", "url", "source", "date_iso")))
+    raw = F.when(F.col("cand_id") % 2 == 0, array).otherwise(F.concat(F.lit("Here they are:\n```json\n"), array, F.lit("\n```\n")))
+    return discover.candidates(rows.select(raw.alias("raw")), "raw", CONFIG).select("title", "url", "source", "date_iso", "is_article_url")
 
 
 def interests_split(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +107,7 @@ def discovery_first(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html_sniff_type(spark: SparkSession, d: str) -> DataFrame:
-    rows = fx.frame(spark, fx.HEADS, "ord bigint, content_type string, html string")
+    rows = _pages(spark, d).withColumn("html", F.when(F.col("ord") % 3 == 0, F.regexp_replace("html", "^.*?<body>", "")).otherwise(F.col("html")))
     return rows.select("ord", html.is_html_type(F.col("content_type"), HTML_TYPES).alias("by_type"), html.mentions_html_type(F.col("content_type")).alias("mentioned"), F.coalesce(html.looks_like_html(F.col("html"), 8192), F.lit(False)).alias("by_content"))
 
 
@@ -138,10 +145,10 @@ def validate_accepted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def audit_latest(spark: SparkSession, d: str) -> DataFrame:
-    """The audit log without lines that were delivered again: the latest of each."""
+    """The audit log without lines that were delivered again: the latest of each, and how many there were."""
     rows = _table(spark, d, "validation_meta")
-    latest = rows.groupBy("validation_id").agg(F.max("ingested_at").alias("ingested_at"), F.count("*").alias("lines"))
-    return latest
+    latest = rows.groupBy("validation_id").agg(F.max_by(F.struct("ingested_at", "final_url", "decision", "reason"), "ingested_at").alias("x"), F.count("*").alias("lines"))
+    return latest.select("validation_id", "x.*", "lines")
 
 
 def audit_reasons(spark: SparkSession, d: str) -> DataFrame:
@@ -174,10 +181,16 @@ def compose_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def source_choice(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "scrape_meta").select("scrape_id", F.length(text.chosen_source(F.col("body"), F.col("text"))).alias("chars"))
+    return _table(spark, d, "scrape_meta").select("scrape_id", text.chosen_source(F.col("body"), F.col("text")).alias("source"))
 
 
 def scrape_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """What scraping the pages gives; the pages are read, cleaned and judged."""
+    return scrape.scraped(_pages(spark, d), CONFIG).groupBy("reason", "extractor").agg(F.count("*").alias("records"), F.count_if("ok").alias("ok"))
+
+
+def scrape_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """The outcomes that the table records."""
     return _table(spark, d, "scrape_meta").groupBy("reason", "extractor").agg(F.count("*").alias("records"), F.count_if("ok").alias("ok"), F.sum("chars").alias("chars"))
 
 
@@ -186,7 +199,7 @@ def normalize_html(spark: SparkSession, d: str) -> DataFrame:
 
 
 def extract_article(spark: SparkSession, d: str) -> DataFrame:
-    return _pages(spark, d).select("ord", html.extracted(html.normalized(F.col("html"))).alias("x")).select("ord", "x.title", "x.body", "x.extractor")
+    return _pages(spark, d).select("ord", html.extracted(F.col("html"), raw=True).alias("x")).select("ord", "x.title", "x.body", "x.extractor")
 
 
 def extract_fallback_chain(spark: SparkSession, d: str) -> DataFrame:
@@ -196,8 +209,13 @@ def extract_fallback_chain(spark: SparkSession, d: str) -> DataFrame:
 
 
 def amp_link(spark: SparkSession, d: str) -> DataFrame:
-    pages = spark.createDataFrame([(1, '<link rel="amphtml" href="https://example.com/amp/x">'), (2, '<link href="https://example.com/y" rel="alternate amphtml">'), (3, '<link rel="amphtml" href="/relative">'), (4, "<p>none</p>"), (5, None)], "ord bigint, html string")
-    return pages.select("ord", urls.amp_link(F.col("html")).alias("amp"))
+    """The AMP links of heads that write them in several ways; every fifth has none."""
+    u, q, k = F.col("input_url"), F.lit('"'), F.col("scrape_id") % 5
+    before, after = F.lit("<head><title>x</title><link rel=canonical href=/c>"), F.lit("</head><body><link rel='amphtml' href='https://example.com/second'></body>")
+    link = F.when(k == 0, "").when(k == 1, F.concat(F.lit('<link rel="amphtml" href="'), u, q, F.lit(">"))).when(k == 2, F.concat(F.lit('<LINK href="'), u, F.lit('" rel="alternate amphtml">')))
+    link = link.when(k == 3, F.concat(F.lit("<link rel='amphtml'\n href='"), u, F.lit("'>"))).otherwise(F.concat(F.lit("<link data-x=1 rel=amphtml href="), u, F.lit(" >")))
+    rows = _table(spark, d, "scrape_meta").filter("input_url is not null")
+    return rows.select("scrape_id", urls.amp_link(F.concat(before, link, F.when(k == 0, "</head>").otherwise(after))).alias("amp"))
 
 
 def decode_charset(spark: SparkSession, d: str) -> DataFrame:
@@ -212,19 +230,20 @@ def lang_script_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lang_classify(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "documents").select("doc_id", lang.classify(F.col("text")).alias("script_lang"))
+    return lang.labelled(_table(spark, d, "documents").select("doc_id", "text"), "text", "script_lang").select("doc_id", "script_lang")
 
 
 def lang_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "documents").groupBy(lang.classify(F.col("text")).alias("script_lang")).agg(F.count("*").alias("texts"))
+    return lang.labelled(_table(spark, d, "documents").select("text"), "text", "script_lang").groupBy("script_lang").agg(F.count("*").alias("texts"))
 
 
 def lang_vs_label(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "lang_items").groupBy(lang.classify(F.col("text")).alias("script_lang"), "lang").agg(F.count("*").alias("items"))
+    return lang.labelled(_table(spark, d, "lang_items").select("text", "lang"), "text", "script_lang").groupBy("script_lang", "lang").agg(F.count("*").alias("items"))
 
 
 def lang_classify_cjk(spark: SparkSession, d: str) -> DataFrame:
-    return fx.frame(spark, fx.SAMPLES, "ord bigint, text string").select("ord", lang.classify(F.col("text")).alias("lang"))
+    """By the Column, over titles and bodies."""
+    return _table(spark, d, "scrape_meta").select("scrape_id", lang.classify(F.col("title")).alias("title_lang"), lang.classify(F.col("body")).alias("body_lang"))
 
 
 def lang_with_meta(spark: SparkSession, d: str) -> DataFrame:
@@ -232,15 +251,15 @@ def lang_with_meta(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lang_compact_zh(spark: SparkSession, d: str) -> DataFrame:
-    return tagging.compact(_table(spark, d, "lang_items"), True, "item_id").select("item_id", "lang", F.length("text").alias("chars"))
+    return tagging.compact(_table(spark, d, "lang_items"), True, "item_id").select("item_id", "lang", "text")
 
 
 def lang_aligned_zh_only(spark: SparkSession, d: str) -> DataFrame:
-    return tagging.aligned(fx.frame(spark, fx.SAMPLES, "ord bigint, text string"), True)
+    return tagging.aligned(_table(spark, d, "lang_items"), True, "item_id")
 
 
 def zh_like_translator(spark: SparkSession, d: str) -> DataFrame:
-    return fx.frame(spark, fx.SAMPLES, "ord bigint, text string").select("ord", F.coalesce(lang.chinese_like(F.col("text")), F.lit(False)).alias("like"))
+    return _table(spark, d, "lang_items").select("item_id", F.coalesce(lang.chinese_like(F.col("text")), F.lit(False)).alias("like"))
 
 
 def lang_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -252,7 +271,9 @@ def detect_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 
 def detect_normalize_cases(spark: SparkSession, d: str) -> DataFrame:
-    return fx.frame(spark, fx.SAMPLES, "ord bigint, text string").select("ord", lang.detection_text(F.col("text")).alias("plain"))
+    """Of texts with a decorated heading and a URL in front."""
+    heading = F.when(F.col("item_id") % 3 == 0, "★☆★ !!!\n").when(F.col("item_id") % 3 == 1, "news ★\r\nhttps://example.com/x?y=1 ").otherwise("")
+    return _table(spark, d, "lang_items").select("item_id", lang.detection_text(F.concat(heading, F.coalesce("text", F.lit("")))).alias("plain"))
 
 
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
@@ -268,7 +289,7 @@ def tf_sentence_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tf_sentence_rank_cjk(spark: SparkSession, d: str) -> DataFrame:
-    return summarize.ranked(fx.frame(spark, fx.TEXTS, "ord bigint, text string"), "ord", "text", 5)
+    return summarize.ranked(_table(spark, d, "scrape_meta"), "scrape_id", "body", 5)
 
 
 def summary_extractive(spark: SparkSession, d: str) -> DataFrame:
@@ -276,7 +297,7 @@ def summary_extractive(spark: SparkSession, d: str) -> DataFrame:
 
 
 def summary_cjk(spark: SparkSession, d: str) -> DataFrame:
-    return summarize.extractive(fx.frame(spark, fx.TEXTS, "ord bigint, text string"), "ord", "text", CONFIG)
+    return summarize.extractive(_table(spark, d, "scrape_meta"), "scrape_id", "body", CONFIG)
 
 
 def translate_fallback(spark: SparkSession, d: str) -> DataFrame:
@@ -288,24 +309,24 @@ def translate_meta_zh_only(spark: SparkSession, d: str) -> DataFrame:
 
 
 def digest_parts(spark: SparkSession, d: str) -> DataFrame:
-    rows = _table(spark, d, "documents").filter("doc_kind in ('summary', 'translation')").select(F.col("doc_id").alias("ord"))
+    rows = _table(spark, d, "documents").select(F.col("doc_id").alias("ord"))
     return ordering.chunked(rows, 20).groupBy("part").agg(F.count("*").alias("items"), F.min("ord").alias("first"), F.max("ord").alias("last"))
 
 
-def _mails(spark: SparkSession) -> DataFrame:
-    return deliver.rendered(fx.frame(spark, fx.ITEMS, "ord bigint, item string"), "item", DATE, CONFIG)
+def _mails(spark: SparkSession, d: str) -> DataFrame:
+    return deliver.rendered(_table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.col("text").alias("item")), "item", DATE, CONFIG)
 
 
 def digest_plain(spark: SparkSession, d: str) -> DataFrame:
-    return _mails(spark).select("part", "plain")
+    return _mails(spark, d).select("part", "plain")
 
 
 def digest_html(spark: SparkSession, d: str) -> DataFrame:
-    return _mails(spark).select("part", "html")
+    return _mails(spark, d).select("part", "html")
 
 
 def digest_subject(spark: SparkSession, d: str) -> DataFrame:
-    return _mails(spark).select("part", "subject")
+    return _mails(spark, d).select("part", "subject")
 
 
 def pipeline_digest(spark: SparkSession, d: str) -> DataFrame:
@@ -318,7 +339,7 @@ def pipeline_counters(spark: SparkSession, d: str) -> DataFrame:
 
 _NAMES = (
     "url_parts url_strip_tracking url_finalize url_deamp url_repair url_canonical_safe url_quote root_and_scheme_reject article_url_flag whitelist_semi_join candidates_json interests_split recipients_split discovery_probe discovery_first "
-    "html_sniff_type html_type_counts content_metrics content_gate decision_counts url_dedupe_first url_domain_cap validate_accepted audit_latest audit_reasons clean_text clip_ellipsis html_escape strip_title_dup compose_text source_choice scrape_outcomes "
+    "html_sniff_type html_type_counts content_metrics content_gate decision_counts url_dedupe_first url_domain_cap validate_accepted audit_latest audit_reasons clean_text clip_ellipsis html_escape strip_title_dup compose_text source_choice scrape_outcomes scrape_reasons "
     "normalize_html extract_article extract_fallback_chain amp_link decode_charset lang_script_flags lang_classify lang_counts lang_vs_label lang_classify_cjk lang_with_meta lang_compact_zh lang_aligned_zh_only zh_like_translator lang_sample detect_normalize detect_normalize_cases "
     "sentence_split sentence_merge_short tf_sentence_rank tf_sentence_rank_cjk summary_extractive summary_cjk translate_fallback translate_meta_zh_only digest_parts digest_plain digest_html digest_subject pipeline_digest pipeline_counters"
 ).split()

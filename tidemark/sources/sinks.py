@@ -46,6 +46,11 @@ class Smtp:
             server.send_message(message)
 
 
+def smtp_from(config: Config) -> Smtp | None:
+    """The configured server, None where no host is set."""
+    return Smtp(config.smtp_host, config.smtp_port, config.smtp_user, config.smtp_password) if config.smtp_host else None
+
+
 def message(subject: str, plain: str, html: str, to: list[str], config: Config) -> EmailMessage:
     mail = EmailMessage()
     mail["Subject"], mail["From"] = subject, formataddr(("Digest", config.sender))
