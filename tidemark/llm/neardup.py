@@ -142,21 +142,22 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), BANDS)))], ["bucket", "id"])
 
 
-def _compare(threshold: float, miss: float):
-    needed = least_matches(threshold, miss)
+def _compare(needed: list[tuple[int, int]], done: int):
+    """Compares signature rows from `done` on, up to the last of `needed`; column m has the matches so far. A pair goes as soon as it has too few."""
+    width = needed[-1][0] - done
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = _matrix(batch.column(2), ROWS), _matrix(batch.column(3), ROWS)
-            left, matches, done = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64), 0
+            x, y = _matrix(batch.column(3), width), _matrix(batch.column(4), width)
+            left, matches, at = np.arange(batch.num_rows), batch.column(2).to_numpy().astype(np.int64), 0
             for n, least in needed:
-                matches = matches + (x[left, done:n] == y[left, done:n]).sum(axis=1)
+                matches = matches + (x[left, at : n - done] == y[left, at : n - done]).sum(axis=1)
                 keep = matches >= least
-                left, matches, done = left[keep], matches[keep], n
+                left, matches, at = left[keep], matches[keep], n - done
             chosen = pa.array(left)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(chosen), batch.column(1).take(chosen)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(chosen), batch.column(1).take(chosen), pa.array(matches.astype(np.int32))], ["a", "b", "m"])
 
     return run
 
@@ -212,9 +213,15 @@ def similar(df: DataFrame, threshold: float, words: int = 5, id_col: str = "id",
     members = signed.select("id", "same", "size").join(reps.select("rep", "same", "size"), ["same", "size"]).select("id", "rep").distinct()
     keyed = reps.select(F.col("rep").alias("id"), "sig").mapInArrow(_spread, f"bucket bigint, id {kind}")
     candidates = _pairs(keyed).distinct()
-    sig = reps.select("rep", "sig")
-    signed_pairs = candidates.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
-    survivors = cut(signed_pairs.mapInArrow(_compare(threshold, miss), f"a {kind}, b {kind}"))
+    needed = least_matches(threshold, miss)
+
+    def compared(pairs: DataFrame, first: int, steps: list[tuple[int, int]]) -> DataFrame:
+        part = reps.select("rep", F.substring("sig", first + 1, steps[-1][0] - first).alias("sig"))
+        both = pairs.join(part.toDF("a", "sig_a"), "a").join(part.toDF("b", "sig_b"), "b").select("a", "b", "m", "sig_a", "sig_b")
+        return both.mapInArrow(_compare(steps, first), f"a {kind}, b {kind}, m int")
+
+    # most candidates go after the first batch: only that much of the signatures goes along with all of them
+    survivors = cut(compared(compared(candidates.withColumn("m", F.lit(0)), 0, needed[:1]), needed[0][0], needed[1:]).select("a", "b"))
     wanted = survivors.select(F.col("a").alias("id")).union(survivors.select("b")).distinct()
     grams = source.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(words, min_letters), f"id {kind}, grams binary")
     full = survivors.join(grams.toDF("a", "grams_a"), "a").join(grams.toDF("b", "grams_b"), "b").select("a", "b", "grams_a", "grams_b")
