@@ -44,8 +44,9 @@ def main(given: list[str] | None = None, model: Model | None = None, fetcher: Fe
     args, config, stop = arguments(given), Config.from_env(), threading.Event()
     config = replace(config, max_articles=args.max_articles) if args.max_articles else config
     fetcher, model = fetcher or HttpFetcher(), model or from_config(config)
-    handlers = [logging.StreamHandler(), *([RotatingFileHandler(args.log_file, maxBytes=5_000_000, backupCount=5, encoding="utf-8")] if args.log_file else [])]
-    logging.basicConfig(level=args.log_level.upper(), handlers=handlers, format="%(asctime)s %(levelname)s %(name)s: %(message)s")
+    logging.basicConfig(level=args.log_level.upper(), format="%(asctime)s %(levelname)s %(name)s: %(message)s")
+    if args.log_file:
+        logging.getLogger().addHandler(RotatingFileHandler(args.log_file, maxBytes=5_000_000, backupCount=5, encoding="utf-8"))
     if threading.current_thread() is threading.main_thread():
         for s in (signal.SIGINT, signal.SIGTERM):
             signal.signal(s, lambda *_: stop.set())
