@@ -220,8 +220,8 @@ def _articles(model):
             for body, gone in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist()):
                 gone = set(gone)
                 rest.append("\n".join(x for k, x in enumerate(body.split("\n")) if k not in gone and x.strip()))
-            peaks = m.peaks(rest) if rest else []
-            keep = [bool(t) and not (w >= residue.LEAST / 2 and m.is_residue(t)) for t, w in zip(rest, peaks)]
+            suspects = set(m.suspects(rest))
+            keep = [bool(t) and not (k in suspects and m.is_residue(t)) for k, t in enumerate(rest)]
             lines = [x if ok else None for x, ok in zip(batch.column(1).to_pylist(), keep)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.list_(pa.int32())), pa.array([t if ok else None for t, ok in zip(rest, keep)], pa.string())], ["_id", "lines", "article"])
 
