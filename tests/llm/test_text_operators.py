@@ -121,7 +121,9 @@ def test_repeated_lines_equal_sql(spark):
     con = duckdb.connect()
     con.register("scrape_meta", df.select("scrape_id", "resolved_url", "body").toPandas())
     assert got == sorted(con.execute(sitelines.ORACLES["p4_found"]).fetchall()) and got
-    clean = {r["scrape_id"]: r["body"] for r in sitelines.remove_repeated(df).collect()}
+    removed = sitelines.remove_repeated(df).collect()
+    assert sorted(map(str, (tuple(r) for r in removed))) == sorted(map(str, con.execute(sitelines.ORACLES["p4_clean"]).fetchall()))
+    clean = {r["scrape_id"]: r["body"] for r in removed}
     assert clean[101] is None and clean[100] == "text" and "Print this page" not in clean[3] and clean[0].split("\n")[1].startswith("Story ba ")
     assert sitelines.find_repeated(df.limit(0)).count() == 0
 

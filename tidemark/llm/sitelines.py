@@ -164,6 +164,9 @@ repeated as (
   having count(distinct scrape_id) >= 4 and count(distinct scrape_id) * 100 >= 3 * any_value(n))
 """
 ORACLES = {
+    "p4_clean": _SQL + """, marked as (select l.scrape_id, l.line_no, l.line, r.k is not null as gone from lines l left join keyed y using (scrape_id, line_no) left join repeated r on r.site = l.site and r.k = y.k),
+left_ as (select scrape_id, string_agg(line, chr(10) order by line_no) filter (not gone) as b, count(*) filter (gone) as n from marked group by scrape_id)
+select m.scrape_id, case when l.scrape_id is null then m.body else coalesce(l.b, '') end as body, cast(coalesce(l.n, 0) as integer) as removed from scrape_meta m left join left_ l using (scrape_id)""",
     "p4_found": _SQL + "select scrape_id, cast(line_no as integer) as line_no from keyed join repeated using (site, k)",
     "p4_lines": _SQL + ", marked as (select r.site, r.c, (select count(*) from keyed x where x.k = r.k and x.site <> r.site) > 0 as other from repeated r) select site, count(*) as lines, cast(sum(c) as bigint) as occurrences, count(*) filter (where other) as also_elsewhere from marked group by site",
 }
