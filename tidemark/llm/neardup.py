@@ -210,7 +210,9 @@ def similar(df: DataFrame, threshold: float, words: int = 5, id_col: str = "id",
     kind = df.schema[id_col].dataType.simpleString()
     signed = cut(source.mapInArrow(_sign(words, min_letters), f"id {kind}, same bigint, size int, sig binary"))
     reps = cut(signed.groupBy("same", "size").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")))
-    members = signed.select("id", "same", "size").join(reps.select("rep", "same", "size"), ["same", "size"]).select("id", "rep").distinct()
+    slim = cut(signed.select("id", "same", "size"))
+    release(signed)  # from here on only representatives need their signatures
+    members = slim.join(reps.select("rep", "same", "size"), ["same", "size"]).select("id", "rep").distinct()
     keyed = reps.select(F.col("rep").alias("id"), "sig").mapInArrow(_spread, f"bucket bigint, id {kind}")
     candidates = _pairs(keyed).distinct()
     needed = least_matches(threshold, miss)
