@@ -107,7 +107,7 @@ def discovery_first(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html_sniff_type(spark: SparkSession, d: str) -> DataFrame:
-    rows = _pages(spark, d).withColumn("html", F.when(F.col("ord") % 3 == 0, F.regexp_replace("html", "^.*?<body>", "")).otherwise(F.col("html")))
+    rows = _pages(spark, d).withColumn("html", F.when(F.col("ord") % 3 == 0, F.regexp_replace("html", "(?s)^.*?<body>", "")).otherwise(F.col("html")))
     return rows.select("ord", html.is_html_type(F.col("content_type"), HTML_TYPES).alias("by_type"), html.mentions_html_type(F.col("content_type")).alias("mentioned"), F.coalesce(html.looks_like_html(F.col("html"), 8192), F.lit(False)).alias("by_content"))
 
 
