@@ -1,11 +1,12 @@
 """Problem 5: template residue, filler and error pages, by character n-gram models.
 
-Natural prose: n-grams of all longer bodies of successful records, counted over the whole table but for what a first model,
-fitted on a sample of them, finds to be residue. Error notices: short bodies of
-records whose status code tells of an error (a bounded sample of labelled rows, FIT_ROWS), less the lines that natural records hold
-too. Filler and placeholders: a fixed list of public conventions. Each model counts n-grams in two views of a text, its folded
+Natural prose: n-grams of all longer bodies of successful records, but for what the model before finds to be residue. Error notices:
+the lines of all short bodies of records whose status code tells of an error, less those that natural records hold about as often.
+Filler and placeholders: a fixed list of public conventions, which keeps at least a share of 1 in LEARNED + 1 beside the notices, however many
+these are. Each model counts n-grams in two views of a text, its folded
 characters and its shape (runs of letters and of digits as one sign each), so that a placeholder is known by its brackets
-whatever name stands inside. A second round learns from short bodies that the first finds full of residue.
+whatever name stands inside. A second round learns from all short bodies that the first finds full of residue. Every count is over the whole
+table, made in the executors; no n-gram crosses from one text to the next, so the models don't depend on partitions.
 
 A text's residue is localised by windows of the log-likelihood ratio of the models. Only n-grams that the residue model has
 seen can speak for residue. A text is excluded if a window reaches LEAST, or if windows at half of it (at a text's end, at as much for each character as the smaller window needs) cover most of the text.
@@ -28,14 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import textcodes as tc
-from tidemark.llm.checkpoints import cut
-from tidemark.llm.sampling import bounded_sample
+from tidemark.llm.checkpoints import cut, release
 
-FIT_ROWS, BITS, GRAM, SHAPE_GRAM, WINDOWS, COMMON = 4000, 20, 4, 4, (8, 24), 3e-6
+BITS, GRAM, SHAPE_GRAM, WINDOWS, COMMON = 20, 4, 4, (8, 24), 3e-6
 WINDOW = WINDOWS[-1]
 CONTEXT, OPENING, SPOKEN, SPOKEN_SHARE = 12, 5, 3, 0.03  # bytes before, characters of the residue itself, records, share of records
 BLANK = "\ue000"  # stands for what is left out; no model knows it
 SHORT, LONG, LEAST, COVER = 400, 500, 24.0, 0.5  # bytes, bytes, nats, share
+OFTENER, SURELY, LEARNED = 4.0, 2.0, 16  # a notice's rate against that in natural records, nats; most n-grams of notices for one of the fixed lists
 
 # fixed values: placeholder syntaxes of common template languages and editors, and filler, in natural order
 PLACEHOLDERS = (
@@ -109,6 +110,20 @@ def _views(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _slots(_fold(tc.codes(lowered)), GRAM, 1), at, _slots(sign, SHAPE_GRAM, 2)
 
 
+class Joined:
+    """Texts joined with a line end before and after each: slots of the character n-grams, places and slots of the shape n-grams, where a text's own places
+    end, and which n-grams lie within one text and the line ends beside it."""
+
+    def __init__(self, texts: list[str]):
+        whole, self.starts, ends = tc.joined(texts)
+        self.gram, self.at, self.shape = _views("\n" + whole)
+        self.stop = np.append(np.repeat(ends + 1, ends + 1 - self.starts), len(self.gram))  # a text's places begin with the line end before it
+        self.whole_gram = np.arange(len(self.gram)) + GRAM - 1 <= self.stop
+        last = np.append(self.at[SHAPE_GRAM - 1 :], np.full(min(SHAPE_GRAM - 1, len(self.at)), len(self.gram)))
+        self.whole_shape = last <= self.stop[self.at]
+        self.whole_gram[-1] = self.whole_shape[-1] = False
+
+
 class Counts:
     def __init__(self, gram: np.ndarray | None = None, shape: np.ndarray | None = None):
         self.gram = np.zeros(1 << BITS, np.int64) if gram is None else gram
@@ -116,11 +131,17 @@ class Counts:
 
     def add(self, texts: list[str], times: int = 1) -> Counts:
         for a, b in tc.chunks(texts):
-            gram, _, shape = _views("\n" + "\n".join(texts[a:b]) + "\n")
-            self.gram += times * np.bincount(gram[: 1 - GRAM], minlength=1 << BITS)
-            self.shape += times * np.bincount(shape[: 1 - SHAPE_GRAM], minlength=1 << BITS)
+            j = Joined(texts[a:b])
+            self.add_slots(j.gram[j.whole_gram], j.shape[j.whole_shape], times)
         return self
 
+    def add_slots(self, gram: np.ndarray, shape: np.ndarray, times: int = 1) -> None:
+        self.gram += times * np.bincount(gram, minlength=1 << BITS)
+        self.shape += times * np.bincount(shape, minlength=1 << BITS)
+
+    def plus(self, other: Counts, times: int = 1) -> Counts:
+        return Counts(self.gram + times * other.gram, self.shape + times * other.shape)
+
 
 def _ratio(for_: np.ndarray, against: np.ndarray, common: float) -> np.ndarray:
     """Log of how much likelier an n-gram is under one model; where that model hasn't seen it, it can only speak against, and
@@ -151,12 +172,20 @@ class Model:
         sums[len(w) + 1 :] = sums[len(w)]
         return np.max([sums[n : n + len(w)] - sums[: len(w)] for n in WINDOWS], axis=0)
 
+    def windows(self, j: Joined) -> np.ndarray:
+        """Of joined texts, the heavier window from each place as far as its text goes: what it weighs in the text alone."""
+        w = self.gram[j.gram]
+        w[j.at] += np.where((self.shape[j.shape] > 1.5) & j.whole_shape, 1.5 * self.shape[j.shape], 0)
+        w[~j.whole_gram] = 0
+        sums, at = np.concatenate([np.zeros(1), np.cumsum(w, dtype=np.float64)]), np.arange(len(w))
+        return np.max([sums[np.minimum(at + n, j.stop)] for n in WINDOWS], axis=0) - sums[:-1]
+
     def peaks(self, texts: list[str]) -> np.ndarray:
-        """The weight of the heaviest window that starts in each text."""
+        """The weight of each text's heaviest window."""
         out = np.zeros(len(texts))
         for a, b in tc.chunks(texts):
-            whole, starts, _ = tc.joined(texts[a:b])
-            out[a:b] = np.maximum.reduceat(self._windows(self.weights("\n" + whole)), starts)
+            j = Joined(texts[a:b])
+            out[a:b] = np.maximum.reduceat(self.windows(j), j.starts)
         return out
 
     def suspects(self, texts: list[str]) -> list[int]:
@@ -185,80 +214,141 @@ class Model:
                 out.append((float(w[run].max()), int(filled[b] - filled[a]), max(a - 1, 0), min(b - 1, len(text)), max(first - 1, 0)))
         return out, int(filled[-1])
 
-    def without(self, text: str) -> str:
-        """The text without its heaviest runs; weaker ones may be prose that a sample lacks."""
-        for peak, _, begin, end, _ in reversed(self.regions(text)[0]):
-            if peak >= 2 * LEAST:
-                text = text[:begin] + BLANK + text[end:]
-        return text
-
     def is_residue(self, text: str) -> bool:
         """Whether most of a text is residue."""
         runs, size = self.regions(text)
         return sum(x[1] for x in runs) >= COVER * max(size, 1)
 
 
-def fit(natural: list[str], erroneous: list[str], short: list[str]) -> tuple[Model, Counts]:
-    """A first model, and the counts of residue. natural: longer bodies of successful records; erroneous: short bodies of failed records; short: other short bodies."""
-    natural = natural or short  # a table of short texts only
-    seeds = [f"word {p} word" for p in PLACEHOLDERS] + [f"字{p}字" for p in PLACEHOLDERS] + list(PLACEHOLDERS) * 2
-    base = lambda: Counts().add(seeds, 2).add(list(FILLER), 3).add(list(NOTICES), 3)
-    model = None
-    for _ in range(2):
-        common = {folded(x) for t in natural for x in t.split("\n")}
-        lines = [x for t in erroneous for x in t.split("\n") if x.strip() and folded(x) not in common]
-        if model:
-            lines = [x for x, p in zip(lines, model.peaks(lines)) if p > LEAST / 3]
-        # the first natural sample still holds residue: there, being common says nothing yet
-        residue = base().add(lines)
-        model = Model(Counts().add(natural), residue, COMMON if model else 1.0)
-        natural = [t if p < 2 * LEAST else model.without(t) for t, p in zip(natural, model.peaks(natural))]
-        erroneous = erroneous + [t for t in short if model.is_residue(t)]
-    return model, residue
-
-
-def folded(line: str) -> str:
-    return re.sub(r"\d+", "0", line.lower()).strip()
-
-
-def _count(model):
+def _sums(slots: DataFrame) -> Counts:
+    """Counts of (slot, n). The table has a fixed size."""
+    got = slots.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(2 << BITS, np.int64)
+    out[got["slot"].to_numpy()] = got["n"].to_numpy()
+    return Counts(out[: 1 << BITS], out[1 << BITS :])
+
+
+def _slot_rows(counts: Counts) -> pa.RecordBatch:
+    both = np.concatenate([counts.gram, counts.shape])
+    at = np.flatnonzero(both)
+    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(both[at])], ["slot", "n"])
+
+
+def _count(model, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = model.value
-        both = np.zeros(2 << BITS, np.int64)
+        m: Model | None = model and model.value
+        counts = Counts()
         for batch in batches:
             for a, b in tc.chunks(texts := batch.column(0).to_pylist()):
-                whole, starts, ends = tc.joined(texts[a:b])
-                gram, at, shape = _views("\n" + whole)
-                w = m._windows(m._weighed(gram, at, shape))
-                strong = np.maximum.reduceat(w, starts) >= 2 * LEAST  # weaker ones may be prose that the sample lacks
-                heavy = np.flatnonzero((w >= LEAST / 2) & np.append(False, np.repeat(strong, ends - starts + 1)))
-                edges = np.bincount(heavy, minlength=len(gram) + WINDOW + 1) - np.bincount(heavy + WINDOW, minlength=len(gram) + WINDOW + 1)
-                kept = np.cumsum(edges)[: len(gram)] == 0
-                both[: 1 << BITS] += np.bincount(gram[kept], minlength=1 << BITS)
-                both[1 << BITS :] += np.bincount(shape[kept[at]], minlength=1 << BITS)
-        at = np.flatnonzero(both)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(both[at])], ["slot", "n"])
+                j = Joined(texts[a:b])
+                kept = j.whole_gram
+                if m:
+                    w = m.windows(j)
+                    strong = np.maximum.reduceat(w, j.starts) >= least
+                    heavy = np.flatnonzero((w >= LEAST / 2) & np.append(np.repeat(strong, np.diff(np.append(j.starts, len(w) - 1))), False))
+                    edges = np.bincount(heavy, minlength=len(w) + 1) - np.bincount(np.minimum(heavy + WINDOW, j.stop[heavy]), minlength=len(w) + 1)
+                    kept = kept & (np.cumsum(edges)[: len(w)] == 0)
+                counts.add_slots(j.gram[kept], j.shape[kept[j.at] & j.whole_shape])
+        yield _slot_rows(counts)
 
     return run
 
 
-def count_natural(texts: DataFrame, model: Model) -> Counts:
-    """n-grams of all texts of a column but for what a first model finds to be residue. The table has a fixed size."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
-    got = texts.mapInArrow(_count(shared), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(2 << BITS, np.int64)
-    out[got["slot"].to_numpy()] = got["n"].to_numpy()
-    return Counts(out[: 1 << BITS], out[1 << BITS :])
+def count_natural(texts: DataFrame, model: Model | None = None, least: float = 2 * LEAST) -> Counts:
+    """n-grams of all texts of a column but for what a model finds to be residue in texts with windows of at least so much; weaker ones may be prose."""
+    return _sums(texts.mapInArrow(_count(model and texts.sparkSession.sparkContext.broadcast(model), least), "slot bigint, n bigint"))
+
+
+def _keyed(lines: DataFrame) -> DataFrame:
+    """Adds the key of each line that isn't blank: equal for lines that are equal but for case, digits and white space around."""
+    spaces = "".join(map(chr, np.flatnonzero(tc.class_table() == tc.SPACE)))
+    plain = F.trim(F.regexp_replace(F.lower("line"), "\\p{Nd}+", "0"), F.lit(spaces))
+    return lines.withColumn("plain", plain).filter("plain <> ''").withColumn("key", F.xxhash64("plain")).drop("plain")
+
+
+def _lines(texts: DataFrame) -> DataFrame:
+    return _keyed(texts.select(F.explode(F.split("t", "\n")).alias("line")))
+
+
+def _weighed_lines(model):
+    """Each line of texts with the heaviest window that starts in it or in the line before, and the heaviest of the line by itself."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model | None = model and model.value
+        for batch in batches:
+            for a, b in tc.chunks(texts := batch.column(0).to_pylist()):
+                lines = [x for t in texts[a:b] for x in t.split("\n")]
+                j = Joined(texts[a:b])
+                starts = tc.joined(lines)[1]
+                near = np.maximum.reduceat(m.windows(j), starts) if m else np.full(len(lines), LEAST)
+                near = np.where(np.isin(starts, j.starts), near, np.maximum(near, np.roll(near, 1)))
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string()), pa.array(near), pa.array(m.peaks(lines) if m else near)], ["line", "near", "peak"])
+
+    return run
+
+
+def _count_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = Counts()
+    for batch in batches:
+        lines, times = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy()
+        for n in np.unique(times):
+            counts.add(lines[times == n].tolist(), int(n))
+    yield _slot_rows(counts)
+
+
+def count_notices(texts: DataFrame, held: DataFrame, natural: int, model: Model | None = None) -> Counts:
+    """n-grams of the lines of erroneous texts, less those that natural records hold about as often. held: (key, held) of the lines of so many
+    natural records. With a model, also less the lines that neither look like residue to it nor stand beside such; what surely does is no natural record's own line."""
+    shared = model and texts.sparkSession.sparkContext.broadcast(model)
+    weighed = _keyed(texts.mapInArrow(_weighed_lines(shared), "line string, near double, peak double")).filter(F.col("near") > LEAST / 3)
+    lines = cut(weighed.groupBy("line", "key").agg(F.count("*").alias("n"), F.max("peak").alias("peak")))
+    own = F.when(F.col("peak") >= 2 * LEAST, F.lit(0.0)).otherwise(F.coalesce("held", F.lit(0)))
+    n, expected = F.col("n"), own * (texts.count() / max(natural, 1))
+    surely = n * F.log(n / expected) - n + expected >= SURELY
+    notices = lines.groupBy("key").agg(F.sum("n").alias("n"), F.max("peak").alias("peak")).join(held, "key", "left").filter((expected == 0) | ((n >= OFTENER * expected) & surely)).select("key")
+    counts = _sums(lines.join(notices, "key", "left_semi").select("line", "n").mapInArrow(_count_lines, "slot bigint, n bigint"))
+    release(lines)
+    return counts
+
+
+def _residual(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = model.value
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([texts[k] for k in m.suspects(texts) if m.is_residue(texts[k])], pa.string())], ["t"])
+
+    return run
+
+
+def _fixed() -> Counts:
+    seeds = [f"word {p} word" for p in PLACEHOLDERS] + [f"字{p}字" for p in PLACEHOLDERS] + list(PLACEHOLDERS) * 2
+    return Counts().add(seeds, 2).add(list(FILLER), 3).add(list(NOTICES), 3)
+
+
+def _with_fixed(notices: Counts) -> Counts:
+    fixed = _fixed()
+    return notices.plus(fixed, max(1, round(int(notices.gram.sum()) / (LEARNED * int(fixed.gram.sum())))))
 
 
-def train(df: DataFrame, id_col: str, body_col: str, status_col: str, ok_col: str, most: int = FIT_ROWS) -> Model:
+def train(df: DataFrame, id_col: str, body_col: str, status_col: str, ok_col: str) -> Model:
     size, failed = F.octet_length(body_col), F.coalesce(F.col(status_col) >= 400, F.lit(False))
-    rows = df.select(F.col(body_col).alias("t"), size.alias("n"), failed.alias("failed"), F.coalesce(F.col(ok_col), F.lit(False)).alias("ok"), F.col(id_col).alias("i")).filter(F.trim("t") != "")
-    take = lambda which: bounded_sample(rows.filter(which), F.col("i"), most)["t"].tolist()
-    prose = (F.col("n") >= LONG) & ~F.col("failed") & F.col("ok")
-    first, residue = fit(take(prose), take((F.col("n") < SHORT) & F.col("failed")), take((F.col("n") < SHORT) & ~F.col("failed")))
-    natural = count_natural(rows.filter(prose).select("t"), first)
-    return Model(natural, residue) if natural.gram.any() else first
+    rows = df.select(F.col(body_col).alias("t"), size.alias("n"), failed.alias("failed"), F.coalesce(F.col(ok_col), F.lit(False)).alias("ok")).filter(F.trim("t") != "")
+    short = cut(rows.filter(F.col("n") < SHORT).select("t", "failed"))
+    erroneous, other = short.filter("failed").select("t"), short.filter("not failed").select("t")
+    natural = rows.filter((F.col("n") >= LONG) & ~F.col("failed") & F.col("ok")).select("t")
+    records = natural.count()
+    if not records:  # a table of short texts only
+        natural, records = other, other.count()
+    held = cut(_lines(natural).groupBy("key").agg(F.count("*").alias("held")).join(_lines(short).select("key").distinct(), "key", "left_semi"))
+    # the natural records still hold residue: there, being common says nothing yet
+    first = Model(count_natural(natural), _with_fixed(count_notices(erroneous, held, records)), 1.0)
+    residual = other.mapInArrow(_residual(df.sparkSession.sparkContext.broadcast(first)), "t string")
+    everything = cut(erroneous.union(residual))
+    residue = _with_fixed(count_notices(everything, held, records, first))
+    second = Model(count_natural(natural, first), residue)
+    model = Model(count_natural(natural, second, 1.5 * LEAST), residue)  # what the first took for residue only for want of it in natural records comes back
+    release(everything, held, short)
+    return model
 
 
 def _context(text: str, first: int) -> tuple[int | None, int]:
@@ -295,14 +385,14 @@ def _judge(model):
     return run
 
 
-def find(df: DataFrame, id_col: str = "scrape_id", body_col: str = "body", status_col: str = "status_code", ok_col: str = "ok", fit_rows: int = FIT_ROWS) -> DataFrame:
+def find(df: DataFrame, id_col: str = "scrape_id", body_col: str = "body", status_col: str = "status_code", ok_col: str = "ok") -> DataFrame:
     """(id, peak, coverage, evidence) of each record with residue; evidence is the text of its heaviest run of windows."""
-    model = df.sparkSession.sparkContext.broadcast(train(df, id_col, body_col, status_col, ok_col, fit_rows))
+    model = df.sparkSession.sparkContext.broadcast(train(df, id_col, body_col, status_col, ok_col))
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(body_col).alias("_t")).filter(F.trim("_t") != "")
     regions = cut(rows.mapInArrow(_judge(model), f"_row bigint, _id {kind}, {_REGION}, whole int"))  # only of records with something heavy
     once = regions.filter("entry is not null").groupBy("_row", "opening", "entry").agg(F.lit(1).alias("one"))
-    records = regions.groupBy("opening").agg(F.approx_count_distinct("_row").alias("with_opening"))
+    records = regions.select("_row", "opening").distinct().groupBy("opening").agg(F.count("*").alias("with_opening"))
     spoken = once.groupBy("opening", "entry").agg(F.count("*").alias("n")).join(records, "opening").filter((F.col("n") >= SPOKEN) & (F.col("n") >= SPOKEN_SHARE * F.col("with_opening"))).select("opening", "entry")
     own = regions.join(spoken, ["opening", "entry"], "left_anti")
     heaviest = F.max(F.struct("peak", "evidence"))
